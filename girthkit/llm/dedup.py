@@ -50,20 +50,37 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return resolve(rows, key)
 
 
+def bloom(cells: DataFrame) -> DataFrame:
+    """The filter of a column _cell of longs: FILTER_WORDS rows at most."""
+    word, mixed, bits = _probe(F.col("_cell"))
+    return cells.withColumn("_mixed", mixed).groupBy(word.alias("_word")).agg(F.bit_or(bits).alias("_mask"))
+
+
+def probe(rows: DataFrame, cell: Column, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that the filter does not hold for certain, rows that it may hold)."""
+    word, mixed, bits = _probe(F.col("_cell"))
+    probed = rows.withColumn("_cell", cell).withColumn("_mixed", mixed).withColumn("_word", word).withColumn("_bits", bits)
+    probed = probed.join(F.broadcast(held), "_word", "left")
+    maybe = F.coalesce(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
+    probed = probed.withColumn("_maybe", maybe).drop("_cell", "_mixed", "_word", "_bits", "_mask")
+    return probed.filter("NOT _maybe").drop("_maybe"), probed.filter("_maybe").drop("_maybe")
+
+
 def split_repeated(rows: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose digest is unique for certain, possibly repeated rows)."""
     cell = F.pmod(F.xxhash64(digest), F.lit(CELLS))
     # pass one: cells that were hit twice or more
     hits = rows.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("_hits"))
     cells = written(hits.filter("_hits > 1").select("_cell"), "cells")
-    word, mixed, bits = _probe(F.col("_cell"))
-    bloom = cells.withColumn("_mixed", mixed).groupBy(word.alias("_word")).agg(F.bit_or(bits).alias("_mask"))
-    # pass two: who may be repeated
-    probed = rows.withColumn("_cell", cell).withColumn("_mixed", mixed).withColumn("_word", word).withColumn("_bits", bits)
-    probed = probed.join(F.broadcast(bloom), "_word", "left")
-    maybe = F.coalesce(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
-    probed = probed.withColumn("_maybe", maybe).drop("_cell", "_mixed", "_word", "_bits", "_mask")
-    return probed.filter("NOT _maybe").drop("_maybe"), probed.filter("_maybe").drop("_maybe")
+    return probe(rows, cell, bloom(cells))  # pass two
+
+
+def without(rows: DataFrame, drops: DataFrame, key: str) -> DataFrame:
+    """rows LEFT ANTI JOIN drops on a key; only rows that a filter of the
+    dropped keys may hold are joined, the others stay where they are."""
+    drops = written(drops.select(key).distinct(), "drops")
+    stay, maybe = probe(rows, F.xxhash64(key), bloom(drops.select(F.xxhash64(key).alias("_cell"))))
+    return stay.unionByName(maybe.join(drops, key, "left_anti"))
 
 
 def resolve(rows: DataFrame, key: str) -> DataFrame:

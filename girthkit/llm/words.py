@@ -15,8 +15,8 @@ CHUNK = 6 << 20
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -97,7 +97,7 @@ class Words:
             self.start = begins
             self.end = np.append(begins[1:], n) if n else begins
         self.first = np.searchsorted(self.start, texts.offsets)
-        self.hash = hashes(data if raw else _LOWER[data], self.start, self.end)
+        self.hash = hashes(data if raw else LOWER[data], self.start, self.end)
 
     def owner(self) -> np.ndarray:
         """The text that each word is in."""
