@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import Cache, Texts, Words, chunks
+from .words import LOWER, Cache, Texts, Words, chunks, hashes
 
 CAPACITY = 2048
 #: Nodes that the search opens at most before it keeps its incumbent.
@@ -50,11 +50,34 @@ class WordIds:
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
 
+@lru_cache(1)
+def _cache(path: str) -> Cache:
+    """One a Python worker: it outlives the tasks."""
+    return Cache(WordIds(path))
+
+
+def without_stops(words: Words) -> Words:
+    """words with a full stop or comma after an ASCII letter as a word of its
+    own. The tokenizer cuts there anyway, and so there are fewer distinct
+    words."""
+    data, start, end = words.texts.data, words.start, words.end
+    last, before = data[end - 1], data[np.maximum(end - 2, 0)] | 0x20
+    cut = np.flatnonzero((end - start > 1) & ((last == 0x2E) | (last == 0x2C)) & (before >= 97) & (before <= 122))
+    out = object.__new__(Words)
+    out.texts = words.texts
+    ends = end.copy()
+    ends[cut] -= 1
+    out.start, out.end = np.insert(start, cut + 1, ends[cut]), np.insert(ends, cut + 1, end[cut])
+    out.first = words.first + np.searchsorted(cut, words.first)
+    out.hash = hashes(LOWER[data], out.start, out.end)
+    return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    cache = Cache(WordIds(path))
+    cache = _cache(path)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     for batch in chunks(batches):
-        words = Words(Texts(batch.column("text")))
+        words = without_stops(Words(Texts(batch.column("text")), hashed=False))
         values, codes = cache(words)
         own, listed, first, rows = values.tolist(), codes.tolist(), words.first.tolist(), []
         for doc, a, b in zip(batch.column("doc_id").to_pylist(), first, first[1:]):

@@ -4,7 +4,7 @@ No piece of the vocabulary has a white-space marker after another character
 (checked when the model is loaded), so no merge crosses the start of a run of
 markers: a text is segmented exactly by segmenting each marked word (a run of
 spaces and what follows up to the next space) by itself. Each task keeps a
-table of the distinct marked words, segments each once with the library and
+table of the distinct marked words, segments each once a worker with the library and
 joins ids and surfaces back by position. The table lives in the task and has a
 fixed bound: a table of the corpus would have to be joined to every word of
 it, which moves more bytes than the texts have.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,12 @@ class Pieces:
         return out
 
 
+@lru_cache(1)
+def _cache(model: str) -> Cache:
+    """One a Python worker: it outlives the tasks."""
+    return Cache(Pieces(model))
+
+
 def chunk_words(texts: Texts) -> tuple[Words, Texts]:
     """Marked words: each text gets the space that stands for the marker the
     library puts first; a literal marker counts as a space, as in the library."""
@@ -75,7 +81,7 @@ def chunk_words(texts: Texts) -> tuple[Words, Texts]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    cache = Cache(Pieces(model))
+    cache = _cache(model)
     for batch in chunks(batches):
         words, marked = chunk_words(Texts(batch.column("text")))
         values, codes = cache(words)
@@ -104,7 +110,7 @@ def encode_digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "
 
 
 def _ids(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    cache = Cache(Pieces(model))
+    cache = _cache(model)
     for batch in chunks(batches):
         words, _ = chunk_words(Texts(batch.column("text")))
         values, codes = cache(words)

@@ -78,7 +78,7 @@ class Words:
     (of the word with A-Z lowered, unless raw), and `first`, the place of each
     text's first word."""
 
-    def __init__(self, texts: Texts, raw: bool = False, begins: np.ndarray | None = None):
+    def __init__(self, texts: Texts, raw: bool = False, begins: np.ndarray | None = None, hashed: bool = True):
         data, n = texts.data, len(texts.data)
         self.texts = texts
         if begins is None:
@@ -97,7 +97,7 @@ class Words:
             self.start = begins
             self.end = np.append(begins[1:], n) if n else begins
         self.first = np.searchsorted(self.start, texts.offsets)
-        self.hash = hashes(data if raw else LOWER[data], self.start, self.end)
+        self.hash = np.zeros(0, np.uint64) if not hashed else hashes(data if raw else LOWER[data], self.start, self.end)
 
     def owner(self) -> np.ndarray:
         """The text that each word is in."""
@@ -137,11 +137,12 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Cache:
-    """What `encode` makes of distinct words, kept over the chunks of a Python
-    worker. encode gets a list of words and returns a list of bytes. Holds at
-    most `most` words besides those of the present chunk."""
+    """What `encode` makes of distinct words, kept over the chunks and tasks of
+    a Python worker. encode gets a list of words and returns a list of bytes.
+    Holds at most `most` words, the first that come, which the frequent ones
+    are among; others are encoded anew in each chunk."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 500_000):
         self.encode, self.most = encode, most
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, object)
 
@@ -157,12 +158,10 @@ class Cache:
         if len(new):
             made = self.encode([words.word(i) for i in at[new].tolist()])
             values[new] = np.fromiter(made, object, len(made))
-            if len(self.keys) + len(new) > self.most:
-                self.keys, self.values = keys[: self.most], values[: self.most]
-            else:
-                both = np.concatenate([self.keys, keys[new]])
-                order = np.argsort(both, kind="stable")
-                self.keys, self.values = both[order], np.concatenate([self.values, values[new]])[order]
+            new = new[: max(0, self.most - len(self.keys))]
+            both = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(both, kind="stable")
+            self.keys, self.values = both[order], np.concatenate([self.values, values[new]])[order]
         return values, codes
 
 
