@@ -32,7 +32,7 @@ from .common import delete, fresh_path, held_out
 from .words import Texts, Words, chunks, mix, pack, squeeze, stretch
 
 #: Tokens of a block, counts up to which Good-Turing discounts.
-BLOCK = 3_000_000
+BLOCK = 1_200_000
 DISCOUNTED = 5
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -72,7 +72,7 @@ class Block:
         inner = np.ones(len(word), bool)
         inner[self.first[1:] - 1] = False
         word[inner] = np.concatenate([h for _, h in parts])
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         begin = np.zeros(len(word), bool)
         begin[self.first[:-1]] = True
         self.grams, self.contexts = [word], [None]
@@ -83,7 +83,12 @@ class Block:
             with np.errstate(over="ignore"):
                 self.grams.append(mix(context * _STEP + word))
             self.contexts.append(context)
-        self.distinct = [np.unique(g, return_index=True, return_inverse=True) for g in self.grams]
+        self.distinct = [_distinct(g) for g in self.grams]
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at, codes = np.unique(values, return_index=True, return_inverse=True)
+    return keys, at.astype(np.int32), codes.astype(np.int32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, Block]]:
