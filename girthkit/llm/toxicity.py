@@ -26,7 +26,7 @@ from .words import LOWER, Texts, Words, chunks, hashes, mix
 WINDOW, STRIDE = 32, 16
 #: Labelled rows that training reads at most, by a hash of their id; half of
 #: them toxic where there are as many.
-SAMPLE = 4000
+SAMPLE = 2400
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 8, 6, 4, 1 << 12, 1 << 11
 #: Different neighbours that a word must have in the sample for a vector.
 PLACES = 20
