@@ -39,7 +39,7 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
 @query(FLAGSHIP)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admissible graphs by exact four-cycle count, edges and id."""
-    e = G.admissible_edges(C.ring(spark, sf_dir))
+    e = G.admissible_edges(C.ring(spark, sf_dir)).persist()
     m = e.groupBy("gid", "n").agg(F.count("*").alias("m"))
     out = m.join(G.degree_text(e).select("gid", F.col("compact").alias("degrees")), "gid").join(G.c4_count(e), "gid")
     return ranked(out, ["c4", "m", "gid"], "place").select("gid", "n", "m", "degrees", "c4", "place")

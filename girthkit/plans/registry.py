@@ -26,5 +26,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("primitives", "cycles", "scoring", "ranking"):
+    for name in ("primitives", "cycles", "scoring", "ranking", "mutations", "search", "catalog", "files"):
         import_module(f"girthkit.plans.{name}")
