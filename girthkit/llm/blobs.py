@@ -61,14 +61,17 @@ def hash_bits(docs: DataFrame) -> int:
 
 @contextmanager
 def same_scan(spark: SparkSession) -> Iterator[None]:
-    """The same cut of a scan in every pass, whatever executors come and go."""
-    name = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    """The same cut of a scan in every pass, whatever executors come and go,
+    and small Arrow batches."""
+    cut, rows = "spark.sql.files.minPartitionNum", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {name: spark.conf.get(name, None) for name in (cut, rows)}
+    spark.conf.set(cut, before[cut] or str(spark.sparkContext.defaultParallelism))
+    spark.conf.set(rows, "1000")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

@@ -9,12 +9,12 @@ no prefix left to join on. Candidates share a prefix shingle and must pass
 
   length      n_small >= t n_large, as part of the join's key (a length band)
   position    what follows the shared shingle must suffice for the overlap
-  suffix      sets fall into 64 hash ranges; the ranges' counts bound the overlap
+  suffix      sets fall into 64 hash ranges, whose counts bound the overlap, and
+              the parities of 1024 hash classes bound the difference
 
 and are verified once per pair on the whole sets. Nodes that hang together
-need no more pairs: stars around a few members of each shingle's list are
-verified first, and then only candidates from different components, until no
-verified pair joins two components. So a group of k near copies costs about k
+need no more pairs: rounds of stars around a few members of each shingle's
+list are verified first, and then all candidates from different components. So a group of k near copies costs about k
 verifications instead of k squared, and no link between components is lost.
 """
 
@@ -37,9 +37,11 @@ WIDTH = 5
 #: Least similarity in hundredths.
 LEAST = 80
 #: Texts' shingles of a block.
-BLOCK = 3_000_000
+BLOCK = 800_000
 #: Hash ranges of the suffix filter, and the orders in which stars are formed.
-RANGES, STARS = 64, 4
+RANGES, STARS, ROUNDS = 64, 4, 3
+#: 64-bit words of parities.
+PARITY = 16
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
 
     task, number, seen = TaskContext.get().partitionId(), 0, set()
     keys, sizes, nodes, held = [], [], [], 0
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=2 << 20):
         key, owner, size, node = _sets(batch, width)
         new = np.zeros(len(node), bool)
         new[np.unique(node, return_index=True)[1]] = True
@@ -86,7 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=2 << 20):
         _, _, sizes, node = _sets(batch, width)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(node)], ["doc_id", "n_shingles", "node"])
 
@@ -112,7 +114,14 @@ def _ranges(key: np.ndarray) -> bytes:
     return np.bincount((key >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes()
 
 
-MEMBERS = "node long, n int, prefix array<struct<key: long, pos: int>>, keys binary, ranges binary"
+def _parities(key: np.ndarray) -> list[int]:
+    """How many shingles fall into each of 64 * PARITY classes, odd or even.
+    Classes that differ between two sets are no more than their difference."""
+    odd = np.bincount((key & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+MEMBERS = "node long, n int, prefix array<struct<key: long, pos: int>>, keys binary, ranges binary, parity array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch], width: int, least: int, counts: str) -> Iterator[pa.RecordBatch]:
@@ -123,9 +132,10 @@ def _members(batches: Iterator[pa.RecordBatch], width: int, least: int, counts:
         if len(answer) != len(distinct):
             raise RuntimeError("the texts came in another order than before; write them to a table first")
         often = answer[codes]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        del distinct, codes, answer
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         first = np.cumsum(sizes) - sizes
-        order = np.lexsort((keys, often, owner))
+        order = np.lexsort((often, owner))  # stable, and a text's shingles come by hash
         rank = np.arange(len(keys)) - first[owner]  # owner is sorted, so it is the same before and after
         shared = (rank < (sizes - -(-least * sizes // 100) + 1)[owner]) & (often[order] > 1)
         rows: list[tuple] = []
@@ -135,7 +145,7 @@ def _members(batches: Iterator[pa.RecordBatch], width: int, least: int, counts:
             at = places[where[i] : where[i + 1]]
             own = keys[first[i] : first[i] + sizes[i]]
             prefix = [{"key": k, "pos": p} for k, p in zip(keys[order[at]].view(np.int64).tolist(), rank[at].tolist())]
-            rows.append((int(nodes[i]), int(sizes[i]), prefix, pack(own), _ranges(own)))
+            rows.append((int(nodes[i]), int(sizes[i]), prefix, pack(own), _ranges(own), _parities(own)))
             if len(rows) >= 2000:
                 yield _member_batch(rows)
                 rows = []
@@ -144,8 +154,8 @@ def _members(batches: Iterator[pa.RecordBatch], width: int, least: int, counts:
 
 
 def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "n", "prefix", "keys", "ranges"])
+    types = [pa.int64(), pa.int32(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "n", "prefix", "keys", "ranges", "parity"])
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -173,6 +183,13 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _with_roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """lists with the component of each node so far (itself, if alone)."""
+    if roots is None:
+        return lists.withColumn("root", F.col("node"))
+    return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _similar(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """The pairs (a < b, each once) that are similar enough."""
     narrow = members.select("node", "n", "ranges")
@@ -204,33 +221,39 @@ def links(df: DataFrame, width: int = WIDTH, least: int = LEAST, key: str = "doc
         counts = by_block(asked.groupBy("part").applyInArrow(_answer, "n int, part int, block long, answer binary"), "counts")
         found = written(docs.mapInArrow(partial(_members, width=width, least=least, counts=counts), MEMBERS), "members")
     # a node that several blocks have: its rows are alike, one is taken
-    members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "keys", "ranges")]), "members")
+    members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "keys", "ranges", "parity")]), "members")
     delete(spark, counts)
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / least)) + 1e-9).cast("int")
     lists = written(members.select("node", "n", F.explode("prefix").alias("p"), band.alias("band")).select("node", "n", "band", "p.key", "p.pos"), "lists")
 
     # stars: the centre of a list is its least member in one of a few orders
-    centre = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(STARS))).alias("o"), F.col("node").alias("c"), F.col("n").alias("cn")))
-    centres = lists.groupBy("key", "band").agg(centre.alias("s"), F.count("*").alias("k")).filter("k > 1").select("key", "band", "s.c", "s.cn")
-    star = lists.join(centres, ["key", "band"]).filter("node <> c").filter(_long_enough("n", "cn", least))
-    star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    good = _similar(star, members, least)
-    roots = written(components(good), "roots")
-
-    # the rest: candidates from different components, until nothing joins
-    joined = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = written(joined, "lists")
+    roots, good = None, None
+    for turn in range(ROUNDS):
+        now = _with_roots(lists, roots)
+        centre = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(STARS)), F.lit(turn)).alias("o"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot")))
+        centres = now.groupBy("key", "band").agg(centre.alias("s"), F.count("*").alias("k")).filter("k > 1").select("key", "band", "s.c", "s.cn", "s.croot")
+        star = now.join(centres, ["key", "band"]).filter("root <> croot").filter(_long_enough("n", "cn", least))
+        star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        new = _similar(star, members, least)
+        good = new if good is None else good.union(new)
+        roots = written(components(good), "roots")
+
+    # the rest: candidates from different components
+    joined = written(_with_roots(lists, roots), "lists")
     mixed = joined.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("key")
-    left = joined.join(mixed, "key", "left_semi")
-    one = left.select("key", F.col("band").alias("meet"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root", "band")])
+    left = joined.join(mixed, "key", "left_semi").join(members.select("node", "parity"), "node")
+    columns = ("node", "n", "pos", "root", "parity")
+    one = left.select("key", F.col("band").alias("meet"), *[F.col(c).alias(f"{c}_a") for c in columns])
     # lengths within the ratio lie in the same band or the next
-    other = left.select("key", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("meet"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root", "band")])
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * least / F.lit(100 + least))
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    pairs = one.join(other, ["key", "meet"]).filter("node_a < node_b AND root_a <> root_b")
-    pairs = pairs.filter(_long_enough("n_a", "n_b", least)).filter(room >= need - F.least("pos_a", "pos_b"))
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    other = left.select("key", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("meet"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    both = F.col("n_a") + F.col("n_b")
+    need = F.ceil(both * least / F.lit(100 + least))
+    room = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.lit(0))
+    close = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _long_enough("n_a", "n_b", least) & (room >= need)
+    close = close & (one["key"] == other["key"]) & (one["meet"] == other["meet"]) & (apart <= both - 2 * need)
+    pairs = one.join(other, close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = _similar(pairs, members, least)
     roots = components(good.union(more))
 
