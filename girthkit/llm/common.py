@@ -36,6 +36,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Rows of texts go to Python by the thousand, unless the session asks for
+    fewer: ten thousand long texts at once are a lot of memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 1000:
+        spark.conf.set(name, "1000")
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives
     lost executors."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .words import LOWER, Cache, Texts, Words, chunks, hashes
 
 CAPACITY = 2048
@@ -46,8 +46,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
+        out: list[bytes] = []
+        for a in range(0, len(words), 4096):  # the library's results are large
+            part = self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4").tobytes() for x in part]
+        return out
 
 
 @lru_cache(1)
@@ -92,6 +95,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token pieces of every row: its ids, then id 0, cut where longer than
     capacity. A null or empty text is one piece of the closing id."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_pieces, path=path, capacity=capacity), PIECES)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import Cache, Texts, Words, chunks
 
 MARK = "▁"
@@ -42,6 +43,9 @@ class Pieces:
         self.space = self.model.piece_to_id(MARK)
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
+        return [v for a in range(0, len(words), 16384) for v in self.some(words[a : a + 16384])]
+
+    def some(self, words: list[bytes]) -> list[bytes]:
         # the library puts a marker of its own before the text: it stands for
         # the word's first space
         ids = self.model.encode([w[1:].decode() for w in words], num_threads=1)
@@ -106,6 +110,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
 def encode_digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the number of ids, and SHA-256s of the ids and of what they
     decode to. Null texts count as empty (no ids); no shuffle."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_encode, model=model), SCHEMA)
 
 
@@ -122,6 +127,7 @@ def _ids(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBat
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the ids as the library gives them."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_ids, model=model), "doc_id long, ids array<int>")
 
 

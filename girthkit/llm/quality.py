@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, small_batches, written
 from .words import Texts, Words, chunks
 
 FEATURES = 256
@@ -212,6 +212,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 def score_documents(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
     """Score of every row, 0 to 1. Null texts count as empty, whose statistics
     are all 0. Null ids are scored and not held out."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), *held).alias("held_out"))
     stats = written(rows.mapInArrow(_statistics, "doc_id long, held_out boolean, stats array<float>"), "statistics")
     return stats.mapInArrow(partial(_score, model=fit(stats, labels), threshold=threshold), SCHEMA)

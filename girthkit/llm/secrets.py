@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import chunks
 
 # The patterns of the base kinds, in their order, and the least
@@ -118,6 +119,7 @@ def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: flo
 def scan_documents(df: DataFrame, path: str, pattern: str, ratio: float = RATIO, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans and counts of every row; null texts count as empty, which have
     none. Texts are scanned whole; no shuffle."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_scan, path=path, pattern=pattern, ratio=ratio), SCHEMA)
 
 
@@ -133,4 +135,5 @@ def _redact(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: f
 def redact_documents(df: DataFrame, path: str, pattern: str, ratio: float = RATIO) -> DataFrame:
     """df with every span of its text column masked, and n_chars (if it has
     that column) counted again. Rows and other columns stay."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(partial(_redact, path=path, pattern=pattern, ratio=ratio), df.schema)

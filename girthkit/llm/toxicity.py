@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .words import LOWER, Texts, Words, chunks, hashes, mix
 
 WINDOW, STRIDE = 32, 16
@@ -34,7 +34,7 @@ PLACES = 20
 GRAM = 5
 THRESHOLD = 0.7
 #: Windows that are scored at once.
-AT_ONCE = 8192
+AT_ONCE = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -327,7 +327,7 @@ def _window_scores(net: Net, vocabulary: Vocabulary, begin: np.ndarray, size: np
 
 def _scores(batches: Iterator[pa.RecordBatch], model: tuple[Net, tuple[Leans, Leans]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     net, inputs = model
-    for batch in chunks(batches, limit=3 << 20):
+    for batch in chunks(batches, limit=2 << 20):
         words = Words(Texts(batch.column("text")))
         owner, begin, size = windows(words.first)
         best = np.zeros(batch.num_rows, np.float32)
@@ -367,12 +367,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), samp
 def score_documents(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), threshold: float = THRESHOLD) -> DataFrame:
     """Score of every row, 0 to 1. Null and empty texts have one empty window,
     which scores by the net's bias. Null ids are scored and not held out."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held))
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(fit(docs, labels, held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), *held).alias("held_out"))
     return rows.mapInArrow(partial(_score, model=model, threshold=threshold), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score `threshold` or more."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held))
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(fit(docs, labels, held))
     return docs.mapInArrow(partial(_clean, model=model, threshold=threshold), docs.schema)

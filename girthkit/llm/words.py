@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in chunks of about this many bytes (one text at least).
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _IS_SPACE = np.zeros(256, bool)
@@ -42,6 +42,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text."""
     for batch in batches:
@@ -53,6 +64,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 class Texts:
@@ -142,7 +154,7 @@ class Cache:
     Holds at most `most` words, the first that come, which the frequent ones
     are among; others are encoded anew in each chunk."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000):
         self.encode, self.most = encode, most
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, object)
 
