@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,11 +98,17 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@lru_cache(1)
+def _strings(path: str, pattern: str) -> RandomStrings:
+    """One a Python worker: it outlives the tasks."""
+    return RandomStrings(path, pattern)
+
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: float) -> Iterator[pa.RecordBatch]:
-    strings = RandomStrings(path, pattern)
+    strings = _strings(path, pattern)
     for batch in chunks(batches):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -124,7 +130,7 @@ def scan_documents(df: DataFrame, path: str, pattern: str, ratio: float = RATIO,
 
 
 def _redact(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: float) -> Iterator[pa.RecordBatch]:
-    strings = RandomStrings(path, pattern)
+    strings = _strings(path, pattern)
     for batch in chunks(batches):
         texts = [t if t is None else redact(t, scan(t, strings, ratio)) for t in batch.column("text").to_pylist()]
         lengths = [t if t is None else len(t) for t in texts]

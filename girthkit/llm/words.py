@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in chunks of about this many bytes (one text at least).
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _IS_SPACE = np.zeros(256, bool)
@@ -154,7 +154,7 @@ class Cache:
     Holds at most `most` words, the first that come, which the frequent ones
     are among; others are encoded anew in each chunk."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 150_000):
         self.encode, self.most = encode, most
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, object)
 
