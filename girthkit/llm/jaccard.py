@@ -252,6 +252,8 @@ def links(df: DataFrame, width: int = WIDTH, least: int = LEAST, key: str = "doc
     room = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
     apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.lit(0))
     close = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _long_enough("n_a", "n_b", least) & (room >= need)
+    # what the pair must share makes its own prefixes shorter
+    close = close & (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
     close = close & (one["key"] == other["key"]) & (one["meet"] == other["meet"]) & (apart <= both - 2 * need)
     pairs = one.join(other, close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = _similar(pairs, members, least)
