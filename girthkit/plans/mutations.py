@@ -102,11 +102,10 @@ def mut_vertex_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mut_coupled_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-switches whose removed edges both lie on four-cycles, 32 a graph."""
+    """Pairs of loaded edges at a vertex, switched with two disjoint edges from
+    anywhere: four edges for four, 32 a graph."""
     e = _good(spark, sf_dir)
-    load = _load4(e)
-    hot = e.join(load.select("gid", "u", "v"), ["gid", "u", "v"], "left_semi").select("gid", "n", "u", "v")
-    return M.guided(M.two_switch(e, hot), load, 32)
+    return M.coupled_switch(e, _load4(e), 32)
 
 
 @query()
