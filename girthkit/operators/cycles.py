@@ -170,7 +170,99 @@ def hitting_set(sets: list[int], most: int = 20) -> int | None:
     return size
 
 
-def _hits(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def _least(sets: list[int]) -> list[int]:
+    """The sets without repeats and without those that hold another."""
+    out: list[int] = []
+    for s in sorted(set(sets), key=int.bit_count):
+        if not any(t & s == t for t in out):
+            out.append(s)
+    return out
+
+
+def _by_item(sets: list[int]) -> dict[int, int]:
+    """Which sets an item (bit) is in, as bits."""
+    on: dict[int, int] = {}
+    for i, s in enumerate(sets):
+        while s:
+            bit = s & -s
+            s ^= bit
+            on[bit] = on.get(bit, 0) | 1 << i
+    return on
+
+
+def _reduced(sets: list[int]) -> tuple[list[int], int, dict[int, int]]:
+    """(sets, taken, items): while an item is in no more sets than another it
+    goes, and an item that is alone in a set is taken."""
+    taken = 0
+    while True:
+        sets = _least(sets)
+        alone = 0
+        for s in sets:
+            if s.bit_count() == 1:
+                alone |= s
+        if alone:
+            taken += alone.bit_count()
+            sets = [s for s in sets if not s & alone]
+            continue
+        on = _by_item(sets)
+        kept: list[int] = []
+        drop = 0
+        for bit in sorted(on, key=lambda x: (-on[x].bit_count(), x)):
+            if any(on[bit] & ~on[k] == 0 for k in kept):
+                drop |= bit
+            else:
+                kept.append(bit)
+        if not drop:
+            return sets, taken, on
+        sets = [s & ~drop for s in sets]
+
+
+def _at_least(sets: list[int], on: dict[int, int]) -> int:
+    """A lower bound: disjoint sets, or each set's share of its widest item."""
+    used = packed = 0
+    share = 0.0
+    wide = {bit: x.bit_count() for bit, x in on.items()}
+    for s in sets:
+        if not s & used:
+            used |= s
+            packed += 1
+        most, left = 0, s
+        while left:
+            bit = left & -left
+            left ^= bit
+            most = max(most, wide[bit])
+        share += 1 / most
+    return max(packed, int(share + 1 - 1e-9))
+
+
+def least_hitting_set(sets: list[int]) -> int:
+    """Size of the least set of items (bits) that meets all sets, however many:
+    branch and bound over reduced sets, taking the widest item or leaving it."""
+    left, best = list(sets), 0  # greedy, the first upper bound
+    while left:
+        on = _by_item(left)
+        bit = max(on, key=lambda x: (on[x].bit_count(), x))
+        left = [s for s in left if not s & bit]
+        best += 1
+
+    def search_(sets: list[int], size: int) -> None:
+        nonlocal best
+        sets, taken, on = _reduced(sets)
+        size += taken
+        if not sets:
+            best = min(best, size)
+            return
+        if size + _at_least(sets, on) >= best:
+            return
+        bit = max(on, key=lambda x: (on[x].bit_count(), x))
+        search_([s for s in sets if not s & bit], size + 1)
+        search_([s & ~bit for s in sets], size)
+
+    search_(list(sets), 0)
+    return best
+
+
+def _hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for gid, cycles in frame[["gid", "cycles"]].itertuples(index=False):
@@ -181,11 +273,11 @@ def _hits(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
                 ends = [tuple(sorted(p)) for p in zip(c, c[1:] + c[:1])]
                 by_vertex.append(sum(1 << v for v in c))
                 by_edge.append(sum(1 << number.setdefault(e, len(number)) for e in ends))
-            rows.append((gid, len(cycles), hitting_set(by_edge, most), hitting_set(by_vertex, most)))
+            rows.append((gid, len(cycles), least_hitting_set(by_edge), least_hitting_set(by_vertex)))
         yield pd.DataFrame(rows, columns=["gid", "cycles", "tau_edge", "tau_vertex"]).astype({"tau_edge": "Int32", "tau_vertex": "Int32"})
 
 
-def hitting_numbers(cycles: DataFrame, most: int = 20) -> DataFrame:
-    """(gid, cycles, tau_edge, tau_vertex) from witnesses; null beyond `most`."""
+def hitting_numbers(cycles: DataFrame) -> DataFrame:
+    """(gid, cycles, tau_edge, tau_vertex) from witnesses."""
     grouped = cycles.groupBy("gid").agg(F.array_sort(F.collect_list("vertices")).alias("cycles"))
-    return grouped.mapInPandas(partial(_hits, most=most), "gid long, cycles long, tau_edge int, tau_vertex int")
+    return grouped.mapInPandas(_hits, "gid long, cycles long, tau_edge int, tau_vertex int")
