@@ -39,6 +39,8 @@ DIGESTS = frozenset({16, 32, 40, 56, 64, 96, 128})
 #: Characters a token below which a string counts as random.
 RATIO = 2.0
 LEAST = 16
+_PART = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 
 
 class RandomStrings:
@@ -73,16 +75,63 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
+def _outside(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What known spans leave of start to end."""
+    out = []
+    for a, b in sorted(known):
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
+def random_parts(text: str, start: int, end: int, strings: RandomStrings, ratio: float, least: int) -> list[tuple[int, int]]:
+    """The random spans of a run: the whole run, or else its parts between
+    separators, and what stretches of `least` characters find in the rest,
+    taken to whole parts, without readable words at their ends."""
+    if end - start < least:
+        return []
+    if strings.is_random(text[start:end], ratio):
+        return [(start, end)]
+    parts = [m.span() for m in _PART.finditer(text, start, end)]
+    out = [(a, b) for a, b in parts if b - a >= least and strings.is_random(text[a:b], ratio)]
+    for a, b in _outside(start, end, out):
+        hits: list[list[int]] = []
+        for i in range(a, b - least + 1):
+            if strings.is_random(text[i : i + least], ratio):
+                if hits and i <= hits[-1][1]:
+                    hits[-1][1] = i + least
+                else:
+                    hits.append([i, i + least])
+        spans: list[tuple[int, int]] = []
+        for x, y in hits:
+            inside = [p for p in parts if p[0] < y and x < p[1]]
+            while len(inside) > 1 and _WORD.fullmatch(text, *inside[0]) and inside[-1][1] - inside[1][0] >= least:
+                inside.pop(0)
+            while len(inside) > 1 and _WORD.fullmatch(text, *inside[-1]) and inside[-2][1] - inside[0][0] >= least:
+                inside.pop()
+            x, y = inside[0][0], inside[-1][1]
+            if spans and x <= spans[-1][1]:
+                before = spans.pop()
+                x, y = before[0], max(y, before[1])
+            spans.append((x, y))
+        out += spans
+    return sorted(out)
+
+
 def scan(text: str, strings: RandomStrings, ratio: float = RATIO, least: int = LEAST) -> list[tuple[int, int, str]]:
     """All spans by start, then kind in the order of the kinds: the base kinds'
-    and `random` ones that touch none of them. Code points, end exclusive."""
+    and `random` ones of what these, UUIDs and digests leave of a run. Code
+    points, end exclusive."""
     base = base_spans(text)
     taken = [(a, b) for a, b, *_ in base]
-    more = [
-        (m.start(), m.end(), "random")
-        for m in CANDIDATE.finditer(text)
-        if m.end() - m.start() >= least and not any(a < m.end() and m.start() < b for a, b in taken) and strings.is_random(m.group(), ratio)
-    ]
+    more = []
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() >= least:
+            known = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
+            known += [x.span() for x in UUID.finditer(text, m.start(), m.end())]
+            known += [x.span() for x in _PART.finditer(text, m.start(), m.end()) if len(x.group()) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", x.group())]
+            more += [(a, b, "random") for x, y in _outside(m.start(), m.end(), known) for a, b in random_parts(text, x, y, strings, ratio, least)]
     rank = {"assign": 0, "access": 1, "hex": 2, "random": 3}
     return sorted([(a, b, k) for a, b, k, _ in base] + more, key=lambda x: (x[0], rank[x[2]]))
 
