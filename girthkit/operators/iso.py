@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girthkit.functions.scalar import graph_hash
 from girthkit.operators.cycles import neighbour_masks
 from girthkit.sources.corpus import adjacency, nested, vertices
 
@@ -182,8 +183,40 @@ def random_degrees(n: int, low: int, high: int, draw: random.Random) -> list[int
     return near
 
 
+def paired(n: int, ends: list[int], draw: random.Random, near: list[int]) -> list[int] | None:
+    """near, with ends joined one by one to a drawn end of another vertex that
+    is not joined yet; None if there is none left for one."""
+    near = [*near]
+    draw.shuffle(ends)
+    while ends:
+        u = ends.pop()
+        choices = [i for i, v in enumerate(ends) if u != v and not near[u] >> v & 1]
+        if not choices:
+            return None
+        v = ends.pop(draw.choice(choices))
+        near[u] |= 1 << v
+        near[v] |= 1 << u
+    return near
+
+
+def cycle_matching(n: int, draw: random.Random, tries: int = 200) -> list[int] | None:
+    """Even orders: a ring and a perfect matching of vertices it does not join."""
+    ring = [1 << (v - 1) % n | 1 << (v + 1) % n for v in range(n)]
+    return next((near for _ in range(tries) if (near := paired(n, list(range(n)), draw, ring))), None)
+
+
+def stub_pairing(n: int, draw: random.Random, tries: int = 2000) -> list[int] | None:
+    """Odd orders: stubs of one vertex of degree 4 and others of degree 3."""
+    for _ in range(tries):
+        near = paired(n, [v for v in range(n) for _ in range(3 if v else 4)], draw, [0] * n)
+        if near and legal(near):
+            return near
+    return None
+
+
 #: Name -> generator of one graph (neighbour masks) of an order; register more.
 GENERATORS = {
+    "cycle_matching_stub_pairing": lambda n, draw: stub_pairing(n, draw) if n % 2 else cycle_matching(n, draw),
     "random_regular": lambda n, draw: random_regular(n, 4 if n % 2 else draw.choice((3, 4)), draw),
     "erdos_renyi_rejection": lambda n, draw: random_mean(n, draw.uniform(5, 8), draw),
     "degree_sequence_rejection": lambda n, draw: random_degrees(n, 3, 6, draw),
@@ -212,3 +245,21 @@ def attempts(spark, count: int, seed: int, low: int, high: int) -> DataFrame:
     from functools import partial
 
     return spark.range(count).mapInPandas(partial(_attempts, seed=seed, low=low, high=high), "attempt long, generator string, n int, edges array<struct<u:int,v:int>>")
+
+
+def distinct_graphs(spark, wanted: int, seed: int, low: int, high: int) -> DataFrame:
+    """(attempt, generator, n, graph_hash): the first `wanted` distinct graphs.
+    Attempts grow to 100 for each that is wanted (1000 at least); an error if
+    they do not hold enough."""
+    most = max(1000, 100 * wanted)
+    count = min(most, 10 * wanted)
+    while True:
+        found = attempts(spark, count, seed, low, high).filter("edges IS NOT NULL").withColumn("graph_hash", graph_hash(F.col("edges"), F.col("n")))
+        first = found.groupBy("graph_hash").agg(F.min_by(F.struct("attempt", "generator", "n"), "attempt").alias("g"))
+        first = first.select("g.attempt", "g.generator", "g.n", "graph_hash").orderBy("attempt").limit(wanted)
+        had = first.count()
+        if had >= wanted:
+            return first
+        if count == most:
+            raise ValueError(f"only {had} of {wanted} distinct graphs in {most} attempts")
+        count = min(most, 3 * count)

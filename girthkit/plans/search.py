@@ -83,9 +83,7 @@ def legal_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def corpus_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 distinct admissible graphs of seeded attempts."""
-    found = I.attempts(spark, 2000, 401, 10, 13).filter("edges IS NOT NULL").withColumn("graph_hash", graph_hash(F.col("edges"), F.col("n")))
-    first = found.groupBy("graph_hash").agg(F.min_by(F.struct("attempt", "generator", "n", "edges"), "attempt").alias("g"))
-    return first.select("g.attempt", "g.generator", "g.n", "graph_hash").orderBy("attempt").limit(200)
+    return I.distinct_graphs(spark, 200, 401, 10, 13)
 
 
 @query()
