@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +22,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="girthkit-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where
+    it is unset, one of this machine will do for a local master; a cluster has
+    to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
+
+
 def local_session(name: str = "girthkit", cores: str = "8", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girthkit.functions.scalar import edge, graph_hash
+from girthkit.session import shared_folder
 
 RECORD = "edges array<array<int>>, graph_hash string, `order` int"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="girthkit-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_graphs(graphs: DataFrame, path: str) -> None:
