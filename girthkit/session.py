@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own_folder()
 
