@@ -3,12 +3,13 @@ tables, joins that survive hot keys, and distributed connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girthkit.session import shared_folder
+
 #: ASCII white space, as every contract of this folder counts it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -22,14 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session
-    names none (tests) a temporary one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="girthkit-")
-    return shared_dir.own
+    """The folder that driver and executors share."""
+    return shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -90,10 +93,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hit = F.col(size) >= least
     heavy = groups.filter(hit)
     light = groups.filter(~hit)
-    names = heavy.select(key, F.lit(True).alias("_heavy"))
+    flag = unused(rows, "heavy")
+    names = heavy.select(key, F.lit(True).alias(flag))
     marked = rows.join(F.broadcast(names), key, "left")
-    hot = marked.filter("_heavy").drop("_heavy").join(F.broadcast(heavy), key)
-    cold = marked.filter("_heavy IS NULL").drop("_heavy").join(light, key, "left")
+    hot = marked.filter(F.col(flag)).drop(flag).join(F.broadcast(heavy), key)
+    cold = marked.filter(F.col(flag).isNull()).drop(flag).join(light, key, "left")
     return hot.unionByName(cold)
 
 

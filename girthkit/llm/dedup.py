@@ -1,13 +1,15 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one counts how often each cell of a 2^44-cell hash space is hit; the
-counts are tiny rows, summed before they shuffle. Cells hit twice or more make
-a Bloom filter of fixed size (FILTER_WORDS 64-bit words, two bits set in one
-word a key), which is broadcast: its size does not depend on the input.
-Pass two probes every row. A row that the filter does not hold is unique for
-certain and passes straight through; only possibly repeated rows shuffle, by
-their SHA-256, and are settled exactly. With more repeated cells than the
-filter was made for, more rows shuffle and the result stays the same.
+Rows get their number and digest once, in a written table, so every pass sees
+the same rows whatever the scan's cut. Pass one sets one bit a row in a Bloom
+filter of 64-bit words (sized by the number of rows): a word that was set more
+often than it has bits holds a hash twice, and such words are marked in a
+second, 64 times smaller filter, which is broadcast (at most FILTER_WORDS
+words, whatever the input). Pass two probes every row: one in an unmarked word
+is unique for certain and passes straight through; only possibly repeated rows
+shuffle, as digest, key and number, and are settled exactly. Beyond
+64 * FILTER_WORDS words the filter grows no more, more rows shuffle and the
+result stays the same.
 """
 
 from __future__ import annotations
@@ -15,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_groups, written
+from .common import SPACE, join_groups, unused, written
 
-#: Words of the broadcast filter at most: 2^20 rows of 16 bytes.
+#: Words of a broadcast filter at most: 2^20 rows of 16 bytes.
 FILTER_WORDS = 1 << 20
-#: Cells of the first pass.
-CELLS = 1 << 44
 
 
 def normalised(text: Column) -> Column:
@@ -28,13 +28,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _probe(cell: Column) -> tuple[Column, Column]:
-    """The filter's word of a cell, and the two bits that the cell sets there."""
-    mixed = F.xxhash64(cell)
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(pmod(shiftright(_mixed, {at}), 64) AS int))")
-    return F.pmod(mixed, F.lit(FILTER_WORDS)), mixed, bit(24).bitwiseOR(bit(34))
-
-
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df's rows with keep_id, group_size, kept and text_sha256.
 
@@ -43,63 +36,85 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     and, of several rows with the same smallest key, one stays (which one is
     open, as nothing tells them apart). Null texts count as empty, and all
     empty texts are equal. An empty table gives an empty result. Other columns
-    pass through unchanged; those named like the added ones are replaced.
+    pass through unchanged, whatever their names; those named like the added
+    ones are replaced.
     """
-    added = ["keep_id", "group_size", "kept", "text_sha256"]
-    rows = df.drop(*added).withColumn("text_sha256", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    return resolve(rows, key)
+    return resolve(df.withColumn("text_sha256", F.sha2(normalised(F.col(text)).cast("binary"), 256)), key)
+
+
+def _bit(place: Column) -> Column:
+    """A long with the bit of a place (modulo 64) set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+
+def filter_words(rows: int, spread: int) -> int:
+    """Words for a number of rows: a power of two, `spread` words a row, as
+    far as FILTER_WORDS words of the broadcast filter tell them apart."""
+    return min(1 << max(0, (max(rows, 1) * spread - 1).bit_length()), 64 * FILTER_WORDS)
+
+
+def crowded(hashes: DataFrame, words: int) -> DataFrame:
+    """Pass one on a column `hash`: (slot, mask), a bit for each word of the
+    filter that holds more rows than bits."""
+    word, place = F.pmod("hash", F.lit(words)), F.shiftright(F.col("hash"), 40)
+    full = hashes.groupBy(word.alias("word")).agg(F.bit_or(_bit(place)).alias("bits"), F.count("*").alias("rows"))
+    return marks(full.filter(F.col("rows") > F.bit_count("bits")).select("word"))
 
 
-def bloom(cells: DataFrame) -> DataFrame:
-    """The filter of a column _cell of longs: FILTER_WORDS rows at most."""
-    word, mixed, bits = _probe(F.col("_cell"))
-    return cells.withColumn("_mixed", mixed).groupBy(word.alias("_word")).agg(F.bit_or(bits).alias("_mask"))
+def marks(words: DataFrame) -> DataFrame:
+    """Numbers of a column `word` as a filter: (slot, mask)."""
+    return words.groupBy(F.shiftright("word", 6).alias("slot")).agg(F.bit_or(_bit(F.col("word"))).alias("mask"))
 
 
-def probe(rows: DataFrame, cell: Column, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that the filter does not hold for certain, rows that it may hold)."""
-    word, mixed, bits = _probe(F.col("_cell"))
-    probed = rows.withColumn("_cell", cell).withColumn("_mixed", mixed).withColumn("_word", word).withColumn("_bits", bits)
-    probed = probed.join(F.broadcast(held), "_word", "left")
-    maybe = F.coalesce(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
-    probed = probed.withColumn("_maybe", maybe).drop("_cell", "_mixed", "_word", "_bits", "_mask")
-    return probed.filter("NOT _maybe").drop("_maybe"), probed.filter("_maybe").drop("_maybe")
+def probe(rows: DataFrame, hashed: Column, held: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose word is unmarked, rows whose word is marked)."""
+    slot, mask, word = (unused(rows, name) for name in ("slot", "mask", "word"))
+    held = F.broadcast(held.select(F.col("slot").alias(slot), F.col("mask").alias(mask)))
+    probed = rows.withColumn(word, F.pmod(hashed, F.lit(words))).withColumn(slot, F.shiftright(word, 6)).join(held, slot, "left")
+    maybe = F.coalesce(F.col(mask).bitwiseAND(_bit(F.col(word))) != 0, F.lit(False))
+    return probed.filter(~maybe).drop(slot, mask, word), probed.filter(maybe).drop(slot, mask, word)
 
 
 def split_repeated(rows: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose digest is unique for certain, possibly repeated rows)."""
-    cell = F.pmod(F.xxhash64(digest), F.lit(CELLS))
-    # pass one: cells that were hit twice or more
-    hits = rows.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("_hits"))
-    cells = written(hits.filter("_hits > 1").select("_cell"), "cells")
-    return probe(rows, cell, bloom(cells))  # pass two
+    hashed = F.xxhash64(digest)
+    words = filter_words(rows.count(), 2)
+    held = written(crowded(rows.select(hashed.alias("hash")), words), "filter")
+    return probe(rows, hashed, held, words)
 
 
 def without(rows: DataFrame, drops: DataFrame, key: str) -> DataFrame:
     """rows LEFT ANTI JOIN drops on a key; only rows that a filter of the
     dropped keys may hold are joined, the others stay where they are."""
     drops = written(drops.select(key).distinct(), "drops")
-    stay, maybe = probe(rows, F.xxhash64(key), bloom(drops.select(F.xxhash64(key).alias("_cell"))))
+    hashed = F.xxhash64(key)
+    words = filter_words(drops.count(), 64)
+    stay, maybe = probe(rows, hashed, marks(drops.select(F.pmod(hashed, F.lit(words)).alias("word"))), words)
     return stay.unionByName(maybe.join(drops, key, "left_anti"))
 
 
 def resolve(rows: DataFrame, key: str) -> DataFrame:
     """exact_dedup for rows that have their text_sha256 already."""
+    rows = rows.drop("keep_id", "group_size", "kept")
+    number, first, keep, hidden = (unused(rows, name) for name in ("number", "first", "keep_number", "keep_key"))
+    rows = written(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
     alone, repeated = split_repeated(rows, "text_sha256")
-    alone = alone.withColumns({"keep_id": F.col(key), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    # a number for each row, so that one of several equal keys stays
-    repeated = repeated.withColumn("_row", F.monotonically_increasing_id())
-    narrow = written(repeated.select("text_sha256", key, "_row"), "repeated")
-    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
-    groups = narrow.groupBy("text_sha256").agg(first.alias("_first"), F.count("*").alias("group_size"))
-    groups = written(groups.select("text_sha256", F.col("_first.k").alias("keep_id"), F.col("_first.r").alias("_keep_row"), "group_size"), "groups")
-    settled = join_groups(repeated, groups, "text_sha256", "group_size", narrow.count())
-    return settled.withColumn("kept", F.col("_row") == F.col("_keep_row")).drop("_row", "_keep_row").unionByName(alone)
+    alone = alone.withColumns({"keep_id": F.col(key), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).drop(number)
+    least = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(number).alias("r")))
+    groups = repeated.groupBy("text_sha256").agg(least.alias(first), F.count("*").alias("group_size"))
+    groups = written(groups.select("text_sha256", F.col(first)["k"].alias(hidden), F.col(first)["r"].alias(keep), "group_size"), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    settled = join_groups(repeated, groups, "text_sha256", "group_size", total)
+    settled = settled.withColumn("kept", F.col(number) == F.col(keep)).withColumnRenamed(hidden, "keep_id").drop(number, keep)
+    return alone.unionByName(settled)
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without the rows that repeat another's text; df's columns."""
-    return exact_dedup(df.withColumn("_doc", F.struct(*df.columns)), text, key).filter("kept").select("_doc.*")
+    doc = unused(df, "doc")
+    rows = df.select(F.struct(*df.columns).alias(doc), F.col(key).alias(f"{doc}_key"), F.col(text).alias(f"{doc}_text"))
+    rows = rows.withColumn("text_sha256", F.sha2(normalised(F.col(f"{doc}_text")).cast("binary"), 256)).drop(f"{doc}_text")
+    return resolve(rows, f"{doc}_key").filter("kept").select(f"{doc}.*")
 
 
 ORACLE = r"""
