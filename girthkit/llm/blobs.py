@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import fresh_path, local_path
 from .words import stretch, unpack
@@ -35,20 +36,34 @@ def merge(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray
     return table, codes, first, np.cumsum([len(k) for k in keys])[:-1]
 
 
-def fetch(path: str, block: int, n: int, dtype: type) -> np.ndarray:
-    """The answers to a block's question about order n, range after range."""
+def rows_of(path: str, block: int, columns: list[str]) -> pa.Table:
+    """The rows of a block in a table that by_block() made; of its scan
+    partition's files only the row groups that hold them are read."""
     import pyarrow.parquet as pq
 
     system, folder = local_path(path)
-    table = pq.read_table(f"{folder}/block={block}", filesystem=system, partitioning=None, columns=["n", "part", "answer"])
+    return pq.read_table(f"{folder}/bucket={block >> 20}", filesystem=system, partitioning=None, columns=columns, filters=[("block", "=", block)])
+
+
+def fetch(path: str, block: int, n: int, dtype: type) -> np.ndarray:
+    """The answers to a block's question about order n, range after range."""
+    table = rows_of(path, block, ["n", "part", "answer"])
     table = table.filter(pc.equal(table.column("n"), n)).sort_by("part")
     return np.concatenate([np.zeros(0, dtype), *(stretch(b, dtype) for b in table.column("answer").to_pylist())])
 
 
-def by_block(answers: DataFrame, name: str) -> str:
-    """Answers as a table with a folder for each block."""
+def by_range(asked: DataFrame, bits: int, orders: int = 1) -> DataFrame:
+    """Questions dealt to as many tasks as half the ranges, so that a task's
+    share does not grow with the input."""
+    return asked.repartition(max(2, orders << bits >> 1), *[c for c in ("n", "part") if c in asked.columns])
+
+
+def by_block(answers: DataFrame, docs: DataFrame, name: str) -> str:
+    """Answers as a table with a folder for each partition of the scan of docs
+    (the upper bits of a block's number), sorted by block."""
     path = fresh_path(answers.sparkSession, name)
-    answers.repartition("block").write.partitionBy("block").parquet(path)
+    dealt = answers.withColumn("bucket", F.shiftright("block", 20)).repartition(max(2, docs.rdd.getNumPartitions()), "bucket")
+    dealt.sortWithinPartitions("bucket", "block").write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(path)
     return path
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_block, edges, fetch, hash_bits, merge, same_scan
+from .blobs import by_block, by_range, edges, fetch, hash_bits, merge, same_scan
 from .common import components, delete, join_groups, written
 from .dedup import without
 from .words import Texts, Words, chunks, mix, pack, shingles, squeeze, stretch, unpack
@@ -218,7 +218,7 @@ def links(df: DataFrame, width: int = WIDTH, least: int = LEAST, key: str = "doc
         bits = hash_bits(docs)
         rows = written(docs.mapInArrow(partial(_nodes, width=width), "doc_id long, n_shingles long, node long"), "nodes")
         asked = docs.mapInArrow(partial(_ask, width=width, bits=bits), "part int, block long, keys binary, counts binary")
-        counts = by_block(asked.groupBy("part").applyInArrow(_answer, "n int, part int, block long, answer binary"), "counts")
+        counts = by_block(by_range(asked, bits).groupBy("part").applyInArrow(_answer, "n int, part int, block long, answer binary"), docs, "counts")
         found = written(docs.mapInArrow(partial(_members, width=width, least=least, counts=counts), MEMBERS), "members")
     # a node that several blocks have: its rows are alike, one is taken
     members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "keys", "ranges", "parity")]), "members")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_block, edges, fetch, hash_bits, merge, same_scan
+from .blobs import by_block, by_range, edges, fetch, hash_bits, merge, same_scan
 from .common import delete, fresh_path, held_out
 from .words import Texts, Words, chunks, mix, pack, squeeze, stretch
 
@@ -245,8 +245,8 @@ def katz_scores(df: DataFrame, order: int = 2, key: str = "doc_id", text: str =
         docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(key), *held).alias("held_out"))
         bits = hash_bits(docs)
         asked = docs.mapInArrow(partial(_ask_counts, order=order, bits=bits), "n int, part int, block long, keys binary, counts binary")
-        counts = by_block(asked.groupBy("n", "part").applyInArrow(_answer_counts, ANSWER), "counts")
-        stats = spark.read.schema(ANSWER).parquet(counts).filter("block = -1").select("n", F.posexplode("stats").alias("k", "v"))
+        counts = by_block(by_range(asked, bits, order).groupBy("n", "part").applyInArrow(_answer_counts, ANSWER), docs, "counts")
+        stats = spark.read.schema(f"{ANSWER}, bucket long").parquet(counts).filter("bucket = -1").select("n", F.posexplode("stats").alias("k", "v"))
         found: dict[int, list[int]] = {n: [0] * (DISCOUNTED + 3) for n in range(1, order + 1)}
         for r in stats.groupBy("n", "k").agg(F.sum("v").alias("v")).collect():  # eight numbers an order
             found[r.n][r.k] = r.v
@@ -254,7 +254,7 @@ def katz_scores(df: DataFrame, order: int = 2, key: str = "doc_id", text: str =
         for n in range(2, order + 1):
             asked = docs.mapInArrow(partial(_ask_weights, model=model, n=n, bits=bits), "n int, part int, block long, keys binary, sums binary, numbers binary")
             answer = partial(_answer_weights, d=model.discounts[n], least=model.unknown)
-            model.weights[n] = by_block(asked.groupBy("n", "part").applyInArrow(_keyed(answer), ANSWER), "weights")
+            model.weights[n] = by_block(by_range(asked, bits).groupBy("n", "part").applyInArrow(_keyed(answer), ANSWER), docs, "weights")
         path = fresh_path(spark, "scores")
         docs.mapInArrow(partial(_score, model=model), SCORES).write.parquet(path)
     for folder in (counts, *model.weights.values()):

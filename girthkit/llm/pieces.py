@@ -3,18 +3,18 @@
 No piece of the vocabulary has a white-space marker after another character
 (checked when the model is loaded), so no merge crosses the start of a run of
 markers: a text is segmented exactly by segmenting each marked word (a run of
-spaces and what follows up to the next space) by itself. Each task keeps a
-table of the distinct marked words, segments each once a worker with the library and
-joins ids and surfaces back by position. The table lives in the task and has a
-fixed bound: a table of the corpus would have to be joined to every word of
-it, which moves more bytes than the texts have.
+spaces and what follows up to the next space) by itself. Blocks of the scan
+list their distinct marked words, dealt by hash range; a range segments each
+distinct word of the corpus once with the library and tells every block what
+its words became. Blocks then join ids and surfaces back by position. What
+moves are the distinct words of each block, never the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -22,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .words import Cache, Texts, Words, chunks
+from .blobs import by_block, by_range, hash_bits, rows_of, same_scan
+from .common import delete, fresh_path
+from .words import Texts, Words, chunks, distinct
 
 MARK = "▁"
+#: Bytes of text whose distinct words make one question.
+BLOCK = 8 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -60,9 +63,9 @@ class Pieces:
 
 
 @lru_cache(1)
-def _cache(model: str) -> Cache:
+def _pieces(model: str) -> Pieces:
     """One a Python worker: it outlives the tasks."""
-    return Cache(Pieces(model))
+    return Pieces(model)
 
 
 def chunk_words(texts: Texts) -> tuple[Words, Texts]:
@@ -84,51 +87,142 @@ def chunk_words(texts: Texts) -> tuple[Words, Texts]:
     return Words(marked, raw=True, begins=begins), marked
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    cache = _cache(model)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Words, Texts]]:
+    """(block, rows, words, marked texts) of every chunk."""
+    from pyspark import TaskContext
+
+    task, number, held = TaskContext.get().partitionId(), 0, 0
     for batch in chunks(batches):
         words, marked = chunk_words(Texts(batch.column("text")))
-        values, codes = cache(words)
-        plain = np.fromiter((b"\0" not in v for v in values), bool, len(values))
-        counts = np.fromiter((v.split(b"\0")[0].count(b",") for v in values), np.int64, len(values))
+        yield task << 20 | number, batch, words, marked
+        held += len(marked.data)
+        if held > BLOCK:
+            number, held = number + 1, 0
+
+
+def _listed(words: list[bytes]) -> bytes:
+    """Byte strings as one blob."""
+    import zstandard
+
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
+    return zstandard.ZstdCompressor(level=1).compress(np.int32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+
+
+def _unlisted(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    count = int(np.frombuffer(data, np.int32, 1)[0])
+    ends = np.cumsum(np.frombuffer(data, np.int32, count, 4)).tolist()
+    body = data[4 + 4 * count :]
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
+ASKED = "part int, block long, words binary"
+ANSWER = "block long, words binary, pieces binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    now, found = None, {}
+
+    def rows() -> pa.RecordBatch:
+        parts: dict[int, list[bytes]] = {}
+        for word, part in found.items():
+            parts.setdefault(part, []).append(word)
+        own = [(p, now, _listed(w)) for p, w in parts.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "words"])
+
+    for block, _, words, _ in _blocks(batches):
+        if block != now and found:
+            yield rows()
+            found = {}
+        now = block
+        at, _ = distinct(words)
+        parts = (words.hash[at] >> np.uint64(64 - bits)).tolist()
+        found.update(zip(map(words.word, at.tolist()), parts))
+    if found:
+        yield rows()
+
+
+def _segment(table: pa.Table, model: str) -> pa.Table:
+    """A range of the table: each distinct word is segmented once."""
+    asked = [_unlisted(b) for b in table.column("words").to_pylist()]
+    known = list(dict.fromkeys(w for words in asked for w in words))
+    made = dict(zip(known, _pieces(model)(known)))
+    answers = [_listed([made[w] for w in words]) for words in asked]
+    return pa.table([table.column("block"), table.column("words"), pa.array(answers, pa.binary())], ["block", "words", "pieces"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[tuple[pa.RecordBatch, Words, Texts, list[bytes], list[int]]]:
+    """Chunks with what the table has for their distinct words, and the
+    distinct word at each position."""
+    now, known = None, {}
+    for block, batch, words, marked in _blocks(batches):
+        at, codes = distinct(words)
+        if block != now:
+            now, known = block, {}
+        if len(at) and not known:
+            for row in rows_of(pieces, block, ["words", "pieces"]).to_pylist():
+                known.update(zip(_unlisted(row["words"]), _unlisted(row["pieces"])))
+        try:
+            values = [known[words.word(i)] for i in at.tolist()]
+        except KeyError:
+            raise RuntimeError("the texts came in another order than before; write them to a table first") from None
+        yield batch, words, marked, values, codes.tolist()
+
+
+def _digests(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[pa.RecordBatch]:
+    for batch, words, marked, values, codes in _joined(batches, pieces):
+        plain = [b"\0" not in v for v in values]
         frags = [v.split(b"\0")[0] for v in values]
-        per = counts[codes] if len(codes) else np.zeros(0, np.int64)
-        odd = ~plain[codes] if len(codes) else np.zeros(0, bool)
-        whole, oddly = np.concatenate([[0], np.cumsum(per)]), np.concatenate([[0], np.cumsum(odd)])
+        counts = np.fromiter((f.count(b",") for f in frags), np.int64, len(frags))
+        odd = ~np.array(plain, bool)
+        whole = np.concatenate([[0], np.cumsum(counts[codes] if codes else np.zeros(0, np.int64))])
+        oddly = np.concatenate([[0], np.cumsum(odd[codes] if codes else np.zeros(0, bool))])
         first, numbers, ids, decoded = words.first.tolist(), [], [], []
-        listed = codes.tolist()
         for i, (a, b) in enumerate(zip(first, first[1:])):
             numbers.append(int(whole[b] - whole[a]))
-            ids.append(hashlib.sha256(b"".join(map(frags.__getitem__, listed[a:b]))[1:]).hexdigest())
+            ids.append(hashlib.sha256(b"".join(map(frags.__getitem__, codes[a:b]))[1:]).hexdigest())
             text = marked.bytes(i)
             if oddly[b] > oddly[a]:
-                text = b"".join(values[c].partition(b"\0")[2] if not plain[c] else words.word(k) for k, c in zip(range(a, b), listed[a:b]))
+                text = b"".join(words.word(k) if plain[c] else values[c].partition(b"\0")[2] for k, c in zip(range(a, b), codes[a:b]))
             decoded.append(hashlib.sha256(text[1:]).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(numbers, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode_digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the number of ids, and SHA-256s of the ids and of what they
-    decode to. Null texts count as empty (no ids); no shuffle."""
-    small_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_encode, model=model), SCHEMA)
-
-
-def _ids(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    cache = _cache(model)
-    for batch in chunks(batches):
-        words, _ = chunk_words(Texts(batch.column("text")))
-        values, codes = cache(words)
+def _ids(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[pa.RecordBatch]:
+    for batch, words, _, values, codes in _joined(batches, pieces):
         own = [list(map(int, v.split(b"\0")[0][1:].split(b","))) for v in values]
-        first, listed = words.first.tolist(), codes.tolist()
-        ids = [[t for c in listed[a:b] for t in own[c]] for a, b in zip(first, first[1:])]
+        first = words.first.tolist()
+        ids = [[t for c in codes[a:b] for t in own[c]] for a, b in zip(first, first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
+def _by_table(df: DataFrame, model: str, key: str, text: str, join: Callable, schema: str) -> DataFrame:
+    spark = df.sparkSession
+    with same_scan(spark):
+        docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        bits = hash_bits(docs)
+        asked = by_range(docs.mapInArrow(partial(_ask, bits=bits), ASKED), bits)
+        table = by_block(asked.groupBy("part").applyInArrow(lambda rows: _segment(rows, model), ANSWER), docs, "pieces")
+        path = fresh_path(spark, "encoded")
+        docs.mapInArrow(partial(join, pieces=table), schema).write.parquet(path)
+    delete(spark, table)
+    return spark.read.schema(schema).parquet(path)
+
+
+def encode_digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: the number of ids, and SHA-256s of the ids and of what they
+    decode to. Null texts count as empty (no ids); null and repeated keys are
+    rows of their own; an empty table gives no rows. df is a table (read from
+    files): its rows must come in the same order in every pass, which is
+    checked."""
+    return _by_table(df, model, key, text, _digests, SCHEMA)
+
+
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the ids as the library gives them."""
-    small_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_ids, model=model), "doc_id long, ids array<int>")
+    """Per row the ids as the library gives them; rows as encode_digests has them."""
+    return _by_table(df, model, key, text, _ids, "doc_id long, ids array<int>")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:

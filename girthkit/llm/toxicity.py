@@ -17,16 +17,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .words import LOWER, Texts, Words, chunks, hashes, mix
+from .words import LOWER, Texts, Words, chunks, hashes, mix, release
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows that training reads at most, by a hash of their id; half of
 #: them toxic where there are as many.
 SAMPLE = 2400
+#: Bytes of text that training reads at most.
+SAMPLE_BYTES = 8 << 20
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 8, 6, 4, 1 << 12, 1 << 11
 #: Different neighbours that a word must have in the sample for a vector.
 PLACES = 20
@@ -348,10 +350,26 @@ def _clean(batches: Iterator[pa.RecordBatch], model: object, threshold: float) -
         yield batch.filter(pa.array(best < threshold))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), sample: int = SAMPLE) -> tuple[Net, tuple[Leans, Leans]]:
+def _train(frames: Iterator, epochs: int) -> Iterator:
+    import pickle
+
+    import pandas as pd
+
+    got = pd.concat(list(frames), ignore_index=True)  # one task, at most `most` bytes of text
+    model = train(got["text"].tolist(), got["toxic"].to_numpy(np.float64), epochs)
+    yield pd.DataFrame({"model": [pickle.dumps(model)]})
+    release()
+
+
+def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), sample: int = SAMPLE, most: int = SAMPLE_BYTES, epochs: int = 10) -> tuple[Net, tuple[Leans, Leans]]:
     """Train on at most `sample` labelled rows that are not held out, chosen by
-    a hash of the id. Null labels do not count; of several labels of an id the
-    largest does."""
+    a hash of the id, and at most `most` bytes of their texts (half for each
+    class; a text of more than a sixteenth of it takes no part). Null labels
+    do not count; of several labels of an id the largest does; of an id's
+    several rows each counts. One executor task trains; the driver gets the
+    fitted arrays, whose size is fixed."""
+    import pickle
+
     spark = docs.sparkSession
     rows = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"), *held))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -360,8 +378,14 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), samp
     for value in (1, 0):  # at most `sample` ids altogether
         chosen += rows.filter(F.col("toxic") == value).orderBy(mixed).limit(sample // 2).collect()
     few = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in chosen], "doc_id long, toxic int"))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").orderBy("doc_id", "text").limit(2 * sample).toPandas()
-    return train(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(size <= most // 16).join(few, "doc_id")
+    got = got.orderBy(mixed, "text").limit(2 * sample)
+    spent = F.sum(size).over(Window.partitionBy("toxic").orderBy(mixed, "text").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("spent", spent).filter(F.col("spent") <= most // 2).select("doc_id", "text", "toxic")
+    got = got.repartition(1).sortWithinPartitions("doc_id", "text")
+    found = got.mapInPandas(partial(_train, epochs=epochs), "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else train([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,7 @@ buffers, and a bounded cache of what a tokenizer makes of a word."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,12 +13,15 @@ import pyarrow.compute as pc
 #: Texts are worked on in chunks of about this many bytes (one text at least).
 CHUNK = 3 << 19
 
-_ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes of a word that are worked on with all other words' in one go.
+SHORT = 64
+
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +34,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _ROOT), ("down", inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as an integer (zeros follow the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _block(eights: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8 k and on, eight at most, of words of more than 8 k bytes."""
+    return eights[start + 8 * k] & _FRONT[np.minimum(size - 8 * k, 8)]
 
 
 def release() -> None:
@@ -120,14 +123,19 @@ class Words:
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of data[start:end] for each pair."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
+    """A 64-bit hash of data[start:end] for each pair: a chain of finalisers
+    over eight bytes at a time, for words beyond SHORT bytes a BLAKE2."""
+    size, eights = end - start, _eights(data)
+    out, live = mix(size.astype(np.uint64) + _SEED), np.arange(len(start))
     with np.errstate(over="ignore"):
-        total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)
-        low = np.where(start > 0, total[start - 1], np.uint64(0))
-        return mix((total[end - 1] - low) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for k in range(SHORT // 8):
+            live = live[size[live] > 8 * k]
+            if not len(live):
+                break
+            out[live] = mix(out[live] * _SEED + _block(eights, start[live], size[live], k))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +156,39 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] equals data[start2:end2], for each row."""
+    size, eights = end - start, _eights(data)
+    same = size == end2 - start2
+    live = np.flatnonzero(same & (start != start2))
+    for k in range(SHORT // 8):
+        live = live[size[live] > 8 * k]
+        if not len(live):
+            return same
+        equal = _block(eights, start[live], size[live], k) == _block(eights, start2[live], size[live], k)
+        same[live[~equal]] = False
+        live = live[equal]
+    for i in live[size[live] > SHORT].tolist():
+        same[i] = np.array_equal(data[start[i] : end[i]], data[start2[i] : end2[i]])
+    return same
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct word, the distinct word of each word), by
+    bytes: words that only share a hash are told apart."""
+    _, at, codes = np.unique(words.hash, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_bytes(words.texts.data, words.start, words.end, words.start[at][codes], words.end[at][codes])) if len(codes) else codes
+    if len(odd):
+        found: dict[bytes, int] = {}
+        codes, more = codes.copy(), []
+        for i in odd.tolist():
+            if (k := found.setdefault(words.word(i), len(at) + len(more))) == len(at) + len(more):
+                more.append(i)
+            codes[i] = k
+        at = np.append(at, more)
+    return at, codes
+
+
 class Cache:
     """What `encode` makes of distinct words, kept over the chunks and tasks of
     a Python worker. encode gets a list of words and returns a list of bytes.
@@ -156,24 +197,20 @@ class Cache:
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 150_000):
         self.encode, self.most = encode, most
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, object)
+        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(value of each distinct word, the distinct word of each word)."""
-        keys, at, codes = np.unique(words.hash, return_index=True, return_inverse=True)
-        values = np.empty(len(keys), object)
-        place = np.searchsorted(self.keys, keys)
-        place[place == len(self.keys)] = 0
-        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        values[known] = self.values[place[known]] if len(self.keys) else []
-        new = np.flatnonzero(~known)
-        if len(new):
-            made = self.encode([words.word(i) for i in at[new].tolist()])
+        at, codes = distinct(words)
+        raw = [words.word(i) for i in at.tolist()]
+        values = np.empty(len(raw), object)
+        values[:] = list(map(self.known.get, raw))
+        new = [i for i, v in enumerate(values) if v is None]
+        if new:
+            made = self.encode([raw[i] for i in new])
             values[new] = np.fromiter(made, object, len(made))
-            new = new[: max(0, self.most - len(self.keys))]
-            both = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(both, kind="stable")
-            self.keys, self.values = both[order], np.concatenate([self.values, values[new]])[order]
+            for i in new[: max(0, self.most - len(self.known))]:
+                self.known[raw[i]] = values[i]
         return values, codes
 
 
