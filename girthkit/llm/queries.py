@@ -29,7 +29,7 @@ def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"), order=2, held=(7, 2))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), order=3, held=(7, 2))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
