@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blobs import by_block, by_range, hash_bits, rows_of, same_scan
 from .common import delete, fresh_path
-from .words import Texts, Words, chunks, distinct
+from .words import Texts, Words, chunks, distinct, squeeze, stretch
 
 MARK = "▁"
 #: Bytes of text whose distinct words make one question.
@@ -33,8 +33,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Pieces:
-    """Encodes marked words: each to its ids as `,1,2,3`, and whether decoding
-    them gives the word back; if not, the surface follows after a NUL."""
+    """Encodes marked words: each to its ids and, if decoding them does not
+    give the word back, the surface that they decode to (else nothing)."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -45,21 +45,16 @@ class Pieces:
                 raise ValueError("a piece crosses a white-space marker; chunks can't be segmented alone")
         self.space = self.model.piece_to_id(MARK)
 
-    def __call__(self, words: list[bytes]) -> list[bytes]:
+    def __call__(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
         return [v for a in range(0, len(words), 16384) for v in self.some(words[a : a + 16384])]
 
-    def some(self, words: list[bytes]) -> list[bytes]:
+    def some(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
         # the library puts a marker of its own before the text: it stands for
         # the word's first space
         ids = self.model.encode([w[1:].decode() for w in words], num_threads=1)
         ids = [x or [self.space] for x in ids]
-        surfaces = self.model.decode(ids)
-        out = []
-        for word, own, surface in zip(words, ids, surfaces):
-            value = ("," + ",".join(map(str, own))).encode()
-            back = surface.encode()
-            out.append(value if back == word[1:] else value + b"\0 " + back)
-        return out
+        surfaces = [b" " + s.encode() for s in self.model.decode(ids)]
+        return [(x, b"" if s == w else s) for x, s, w in zip(ids, surfaces, words)]
 
 
 @lru_cache(1)
@@ -87,17 +82,40 @@ def chunk_words(texts: Texts) -> tuple[Words, Texts]:
     return Words(marked, raw=True, begins=begins), marked
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Words, Texts]]:
-    """(block, rows, words, marked texts) of every chunk."""
+class Block:
+    """Some texts of a scan: chunks of rows with their words, and the distinct
+    words of all of them by hash range and bytes, the order of the question."""
+
+    def __init__(self, number: int, rows: list[tuple[pa.RecordBatch, Words, Texts]], bits: int):
+        self.number, self.rows, self.places = number, rows, []
+        parts: dict[bytes, int] = {}
+        raw = []
+        for _, words, _ in rows:
+            at, codes = distinct(words)
+            raw.append(([words.word(i) for i in at.tolist()], codes))
+            parts.update(zip(raw[-1][0], (words.hash[at] >> np.uint64(64 - bits)).tolist()))
+        asked = sorted((p, w) for w, p in parts.items())
+        self.words = [w for _, w in asked]
+        self.cuts = np.searchsorted([p for p, _ in asked], np.arange((1 << bits) + 1)).tolist()
+        place = {w: i for i, w in enumerate(self.words)}
+        for own, codes in raw:
+            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+            self.places.append(at[codes].tolist() if len(codes) else [])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Block]:
     from pyspark import TaskContext
 
-    task, number, held = TaskContext.get().partitionId(), 0, 0
+    task, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
     for batch in chunks(batches):
         words, marked = chunk_words(Texts(batch.column("text")))
-        yield task << 20 | number, batch, words, marked
+        rows.append((batch, words, marked))
         held += len(marked.data)
         if held > BLOCK:
-            number, held = number + 1, 0
+            yield Block(task << 20 | number, rows, bits)
+            rows, held, number = [], 0, number + 1
+    if rows:
+        yield Block(task << 20 | number, rows, bits)
 
 
 def _listed(words: list[bytes]) -> bytes:
@@ -105,7 +123,7 @@ def _listed(words: list[bytes]) -> bytes:
     import zstandard
 
     sizes = np.fromiter(map(len, words), np.int32, len(words))
-    return zstandard.ZstdCompressor(level=1).compress(np.int32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.int32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
 
 
 def _unlisted(blob: bytes) -> list[bytes]:
@@ -119,82 +137,71 @@ def _unlisted(blob: bytes) -> list[bytes]:
 
 
 ASKED = "part int, block long, words binary"
-ANSWER = "block long, words binary, pieces binary"
+ANSWER = "part int, block long, counts binary, ids binary, surfaces binary"
 
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    now, found = None, {}
-
-    def rows() -> pa.RecordBatch:
-        parts: dict[int, list[bytes]] = {}
-        for word, part in found.items():
-            parts.setdefault(part, []).append(word)
-        own = [(p, now, _listed(w)) for p, w in parts.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "words"])
-
-    for block, _, words, _ in _blocks(batches):
-        if block != now and found:
-            yield rows()
-            found = {}
-        now = block
-        at, _ = distinct(words)
-        parts = (words.hash[at] >> np.uint64(64 - bits)).tolist()
-        found.update(zip(map(words.word, at.tolist()), parts))
-    if found:
-        yield rows()
+    for block in _blocks(batches, bits):
+        rows = [(p, block.number, _listed(block.words[a:b])) for p, (a, b) in enumerate(zip(block.cuts, block.cuts[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "words"])
 
 
 def _segment(table: pa.Table, model: str) -> pa.Table:
-    """A range of the table: each distinct word is segmented once."""
+    """A range of the table: each distinct word is segmented once. An answer
+    has the ids of a question's words and, for each, the surface that they
+    decode to or nothing if it is the word."""
     asked = [_unlisted(b) for b in table.column("words").to_pylist()]
     known = list(dict.fromkeys(w for words in asked for w in words))
     made = dict(zip(known, _pieces(model)(known)))
-    answers = [_listed([made[w] for w in words]) for words in asked]
-    return pa.table([table.column("block"), table.column("words"), pa.array(answers, pa.binary())], ["block", "words", "pieces"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[tuple[pa.RecordBatch, Words, Texts, list[bytes], list[int]]]:
-    """Chunks with what the table has for their distinct words, and the
-    distinct word at each position."""
-    now, known = None, {}
-    for block, batch, words, marked in _blocks(batches):
-        at, codes = distinct(words)
-        if block != now:
-            now, known = block, {}
-        if len(at) and not known:
-            for row in rows_of(pieces, block, ["words", "pieces"]).to_pylist():
-                known.update(zip(_unlisted(row["words"]), _unlisted(row["pieces"])))
-        try:
-            values = [known[words.word(i)] for i in at.tolist()]
-        except KeyError:
-            raise RuntimeError("the texts came in another order than before; write them to a table first") from None
-        yield batch, words, marked, values, codes.tolist()
-
-
-def _digests(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[pa.RecordBatch]:
-    for batch, words, marked, values, codes in _joined(batches, pieces):
-        plain = [b"\0" not in v for v in values]
-        frags = [v.split(b"\0")[0] for v in values]
-        counts = np.fromiter((f.count(b",") for f in frags), np.int64, len(frags))
-        odd = ~np.array(plain, bool)
-        whole = np.concatenate([[0], np.cumsum(counts[codes] if codes else np.zeros(0, np.int64))])
-        oddly = np.concatenate([[0], np.cumsum(odd[codes] if codes else np.zeros(0, bool))])
+    answers = []
+    for words in asked:
+        own = [made[w] for w in words]
+        ids = np.array([i for x, _ in own for i in x], np.uint32)
+        answers.append((squeeze(np.array([len(x) for x, _ in own], np.uint32)), squeeze(ids), _listed([s for _, s in own])))
+    columns = [pa.array(c, pa.binary()) for c in zip(*answers)]
+    return pa.table([table.column("part"), table.column("block"), *columns], ["part", "block", "counts", "ids", "surfaces"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[tuple[pa.RecordBatch, Words, Texts, list[list[int]], list[bytes], list[int]]]:
+    """Chunks with the ids and surfaces that the table has for the words of
+    their block, and the word at each position."""
+    for block in _blocks(batches, bits):
+        ids, surfaces = [], []
+        for row in rows_of(table, block.number, ["part", "counts", "ids", "surfaces"]).sort_by("part").to_pylist() if block.words else ():
+            ends = np.cumsum(stretch(row["counts"], np.uint32)).tolist()
+            flat = stretch(row["ids"], np.uint32).tolist()
+            ids += [flat[a:b] for a, b in zip([0, *ends], ends)]
+            surfaces += _unlisted(row["surfaces"])
+        if len(ids) != len(block.words):
+            raise RuntimeError("the texts came in another order than before; write them to a table first")
+        for (batch, words, marked), places in zip(block.rows, block.places):
+            yield batch, words, marked, ids, surfaces, places
+
+
+def _digests(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[pa.RecordBatch]:
+    last = None
+    for batch, words, marked, own, surfaces, places in _joined(batches, table, bits):
+        if own is not last:
+            last = own
+            printed = [b"".join([b",%d" % i for i in x]) for x in own]
+            counts, odd = np.array([len(x) for x in own], np.int64), np.array([s != b"" for s in surfaces], bool)
+        at = np.array(places, np.int64)
+        whole, oddly = (np.concatenate([[0], np.cumsum(x[at])]) if len(at) else np.zeros(1, np.int64) for x in (counts, odd))
         first, numbers, ids, decoded = words.first.tolist(), [], [], []
         for i, (a, b) in enumerate(zip(first, first[1:])):
             numbers.append(int(whole[b] - whole[a]))
-            ids.append(hashlib.sha256(b"".join(map(frags.__getitem__, codes[a:b]))[1:]).hexdigest())
+            ids.append(hashlib.sha256(b"".join(map(printed.__getitem__, places[a:b]))[1:]).hexdigest())
             text = marked.bytes(i)
             if oddly[b] > oddly[a]:
-                text = b"".join(words.word(k) if plain[c] else values[c].partition(b"\0")[2] for k, c in zip(range(a, b), codes[a:b]))
+                text = b"".join(surfaces[c] or words.word(k) for k, c in zip(range(a, b), places[a:b]))
             decoded.append(hashlib.sha256(text[1:]).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(numbers, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _ids(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[pa.RecordBatch]:
-    for batch, words, _, values, codes in _joined(batches, pieces):
-        own = [list(map(int, v.split(b"\0")[0][1:].split(b","))) for v in values]
+def _ids(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch, words, _, own, _, places in _joined(batches, table, bits):
         first = words.first.tolist()
-        ids = [[t for c in codes[a:b] for t in own[c]] for a, b in zip(first, first[1:])]
+        ids = [[t for c in places[a:b] for t in own[c]] for a, b in zip(first, first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
@@ -206,7 +213,7 @@ def _by_table(df: DataFrame, model: str, key: str, text: str, join: Callable, sc
         asked = by_range(docs.mapInArrow(partial(_ask, bits=bits), ASKED), bits)
         table = by_block(asked.groupBy("part").applyInArrow(lambda rows: _segment(rows, model), ANSWER), docs, "pieces")
         path = fresh_path(spark, "encoded")
-        docs.mapInArrow(partial(join, pieces=table), schema).write.parquet(path)
+        docs.mapInArrow(partial(join, table=table, bits=bits), schema).write.parquet(path)
     delete(spark, table)
     return spark.read.schema(schema).parquet(path)
 
