@@ -49,28 +49,10 @@ def count_bounds(observed: Column, state: Column, cap: int) -> tuple[Column, Col
     return lower, F.when(state == "SEARCH_BUDGET_EXHAUSTED", F.lit(cap)).otherwise(lower)
 
 
-class EnergyScale:
-    """One integer that orders graphs of an order by (total, weighted total,
-    edges), and its utility 1 - energy / greatest energy."""
-
-    def __init__(self, order: int, lengths: tuple[int, ...], cap: int):
-        self.weights = {x: max(1, WEIGHT_TOP // x) for x in lengths}
-        self.edge_min = (3 * order + 1) // 2
-        self.edge_max = order * (order - 1) // 2
-        self.span = self.edge_max - self.edge_min
-        self.total_max = cap * len(lengths)
-        self.weighted_max = cap * sum(self.weights.values())
-        self.energy_max = self.energy(self.total_max, self.weighted_max, self.edge_max)
-
-    def energy(self, total: int, weighted: int, edges: int) -> int:
-        return (total * (self.weighted_max + 1) + weighted) * (self.span + 1) + edges - self.edge_min
-
-    def utility(self, total: int, weighted: int, edges: int) -> Fraction:
-        return 1 - Fraction(self.energy(total, weighted, edges), self.energy_max)
-
-
 def energy_columns(order: Column, total: Column, weighted: Column, edges: Column, lengths: int, weight_sum: int, cap: int) -> tuple[Column, Column]:
-    """(energy, greatest energy) as longs, for orders that share their lengths."""
+    """(energy, greatest energy) as longs, for orders that share their lengths:
+    one integer that orders graphs of an order by total, weighted total and
+    edges; 1 - energy / greatest energy is the utility."""
     low = F.floor((order * 3 + 1) / 2).cast("long")
     span = (order * (order - 1) / 2).cast("long") - low
     top = F.lit(cap * weight_sum + 1).cast("long")

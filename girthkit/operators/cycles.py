@@ -1,12 +1,15 @@
-"""Cycles of a given length: by joins that extend paths, and by a bit-mask
-search in Python batches that knows caps and budgets."""
+"""Cycles of a given length: by joins that extend paths, by pairs of half paths
+in numpy over many graphs at once, and by a bit-mask search in Python batches
+that knows caps and budgets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,27 +109,195 @@ def count_cycles(edges: DataFrame, lengths: tuple[int, ...], cap: int | None = N
     return nested(edges).mapInPandas(partial(_count, lengths=lengths, cap=cap, budget=budget), "gid long, length int, observed long, complete boolean, nodes long")
 
 
-def _cascade(frames: Iterator[pd.DataFrame], lengths: tuple[int, ...], incumbent: int, strict: bool) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for gid, n, edges in frame[["gid", "n", "edges"]].itertuples(index=False):
-            near, total, stage = neighbour_masks(int(n), edges), 0, None
-            limit = incumbent if strict else incumbent + 1  # a total that is pruned
-            for length in (x for x in lengths if x <= n):
-                found, complete, _ = search(near, length, cap=limit - total)
-                total += found
-                if total >= limit:
-                    stage = length
-                    break
-            rows.append((gid, None if stage else total, stage))
-        yield pd.DataFrame(rows, columns=["gid", "total", "pruned_at"]).astype({"total": "Int64", "pruned_at": "Int32"})
+#: Paths, and pairs of paths, that are held at once.
+AT_ONCE = 1 << 20
+#: Lengths that are counted by pairs of half paths.
+BY_PAIRS = (4, 6, 8)
+
+
+class Graphs:
+    """The graphs of a batch of nested rows as arrays: orders, and the two ends
+    of all edges, those of graph i from first[i] on."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        edges = batch.column("edges")
+        flat = edges.flatten()
+        self.order = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(edges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.u, self.v = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in "uv")
+        if len(self.order) and self.order.max() > 64:
+            raise ValueError("sets of vertices are bits of 64: no order above 64")
+
+    def some(self, rows: np.ndarray) -> Graphs:
+        out = object.__new__(Graphs)
+        sizes = (self.first[1:] - self.first[:-1])[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(sizes.sum()) + np.repeat(self.first[:-1][rows] - (ends - sizes), sizes)
+        out.order, out.first, out.u, out.v = self.order[rows], np.concatenate([[0], ends]), self.u[at], self.v[at]
+        return out
+
+    def links(self, loops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vertices of all graphs are numbered through: (graph of each, its bit,
+        neighbours of all by vertex, how many each has, where they begin).
+        loops: a vertex is its own neighbour, too."""
+        base = np.concatenate([[0], np.cumsum(self.order)])
+        owner = np.repeat(np.arange(len(self.order)), self.order)
+        graph = np.repeat(np.arange(len(self.order)), self.first[1:] - self.first[:-1])
+        one, other, own = self.u + base[graph], self.v + base[graph], np.arange(base[-1] if loops else 0)
+        source, target = np.concatenate([one, other, own]), np.concatenate([other, one, own])
+        degree = np.bincount(source, minlength=base[-1])
+        bit = np.uint64(1) << (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        return owner, bit, target[np.argsort(source, kind="stable")], degree, np.cumsum(degree) - degree
+
+    def near(self, row: int) -> list[int]:
+        out = [0] * int(self.order[row])
+        for u, v in zip(self.u[self.first[row] : self.first[row + 1]].tolist(), self.v[self.first[row] : self.first[row + 1]].tolist()):
+            out[u] |= 1 << v
+            out[v] |= 1 << u
+        return out
+
+
+def even_cycles(graphs: Graphs, length: int) -> np.ndarray:
+    """Cycles of an even length in each graph. Two paths of half the length
+    between the same two ends that share no inner vertex are a cycle, and each
+    cycle has length / 2 pairs of opposite ends."""
+    half = length // 2
+    owner, bit, target, degree, begin = graphs.links()
+    widest = np.zeros(len(graphs.order), np.int64)
+    np.maximum.at(widest, owner, degree)
+    share = np.cumsum(degree * np.maximum(widest[owner] - 1, 1) ** (half - 1)) // AT_ONCE
+    found = np.zeros(len(graphs.order), np.int64)
+    for start in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(share)) + 1):
+        end, used = start, bit[start]
+        for step in range(half):
+            fan = degree[end]
+            path = np.repeat(np.arange(len(end)), fan)
+            after = target[np.arange(len(path)) - np.repeat(np.cumsum(fan) - fan, fan) + begin[end][path]]
+            keep = (used[path] & bit[after]) == 0
+            if step == half - 1:
+                keep &= after > start[path]
+            path, end = path[keep], after[keep]
+            start, used = start[path], used[path] | bit[end]
+        order = np.lexsort((end, start))
+        start, end = start[order], end[order]
+        inner = used[order] & ~(bit[start] | bit[end])
+        head, place = _heads(start, end), np.arange(len(start))
+        for part in np.split(place, np.flatnonzero(np.diff(np.cumsum(place - head) // AT_ONCE)) + 1):
+            one, other = _earlier(head, part)
+            apart = (inner[one] & inner[other]) == 0
+            found += np.bincount(owner[start[one[apart]]], minlength=len(found))
+    return found // half
+
+
+def _earlier(head: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, an earlier row of its group) for each of `rows`; head: the first
+    row of each row's group."""
+    count = rows - head[rows]
+    row = np.repeat(rows, count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + head[row]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """The first row of each row's group, for sorted keys."""
+    place = np.arange(len(keys[0]))
+    new = np.ones(len(place), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.maximum.accumulate(np.where(new, place, 0)) if len(place) else place
+
+
+def four_cycles(graphs: Graphs) -> np.ndarray:
+    """(a, b, c, d) of every four-cycle a-b-c-d as vertices numbered through,
+    a its least and b < d, sorted by graph and vertices."""
+    _, _, target, degree, begin = graphs.links()
+    a, c, b = np.arange(len(degree)), np.arange(len(degree)), np.arange(len(degree))
+    for _ in range(2):
+        path = np.repeat(np.arange(len(c)), degree[c])
+        after = target[np.arange(len(path)) - np.repeat(np.cumsum(degree[c]) - degree[c], degree[c]) + begin[c][path]]
+        keep = after > a[path]
+        a, b, c = a[path[keep]], c[path[keep]], after[keep]
+    order = np.lexsort((b, c, a))
+    a, b, c = a[order], b[order], c[order]
+    second, first = _earlier(_heads(a, c), np.arange(len(a)))
+    found = np.stack([a[first], b[first], c[first], b[second]])
+    return found[:, np.lexsort(found[::-1])]
+
+
+def reach(graphs: Graphs) -> list[np.ndarray]:
+    """Masks of the vertices within distance 0, 1, .. of each vertex, until
+    nothing more is reached."""
+    _, bit, target, degree, begin = graphs.links(loops=True)
+    layers = [bit]
+    while len(bit):
+        more = np.bitwise_or.reduceat(layers[-1][target], begin)
+        if (more == layers[-1]).all():
+            break
+        layers.append(more)
+    return layers
+
+
+def _cycle_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        graphs = Graphs(batch)
+        owner, bit, *_ = graphs.links()
+        cycles = four_cycles(graphs)
+        graph, number = owner[cycles[0]], np.arange(cycles.shape[1])
+        mask = np.bitwise_or.reduce(bit[cycles], axis=0)
+        around = [np.bitwise_or.reduce(layer[cycles], axis=0) for layer in reach(graphs)]
+        sides = np.stack([np.minimum(cycles[k], cycles[k - 1]) * len(owner) + np.maximum(cycles[k], cycles[k - 1]) for k in range(4)])
+        head = _heads(graph)
+        for part in np.split(number, np.flatnonzero(np.diff(np.cumsum(number - head) // AT_ONCE)) + 1):
+            j, i = _earlier(head, part)
+            far = np.full(len(i), -1, np.int32)
+            for k, layer in enumerate(around):
+                far[(far < 0) & ((layer[i] & mask[j]) != 0)] = k
+            vertices = np.bitwise_count(mask[i] & mask[j]).astype(np.int32)
+            edges = sum((sides[x][i] == sides[y][j]).astype(np.int32) for x in range(4) for y in range(4))
+            columns = [batch.column("gid").take(pa.array(graph[i])), *[pa.array((x - head[x] + 1).astype(np.int32)) for x in (i, j)], pa.array(vertices), pa.array(edges), pa.array(far, mask=far < 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["gid", "i", "j", "shared_vertices", "shared_edges", "distance"])
+
+
+def cycle_pairs(edges: DataFrame) -> DataFrame:
+    """(gid, i, j, shared_vertices, shared_edges, distance) of all pairs of a
+    graph's four-cycles, numbered in the order of their vertices. distance is
+    the least of any two of their vertices, null if none reaches the other."""
+    return nested(edges).mapInArrow(_cycle_pairs, "gid long, i int, j int, shared_vertices int, shared_edges int, distance int")
+
+
+def _evens(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        graphs = Graphs(batch)
+        sizes = np.diff(graphs.first)
+        columns = [batch.column("gid"), batch.column("n"), pa.array(sizes), *[pa.array(even_cycles(graphs, x)) for x in lengths]]
+        yield pa.RecordBatch.from_arrays(columns, ["gid", "n", "m", *[f"c{x}" for x in lengths]])
+
+
+def count_evens(edges: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(gid, n, m, c4, ...): edges and exact counts of even lengths up to 8 of
+    every graph, by one shuffle."""
+    kept = "".join(f", c{x} long" for x in lengths)
+    return nested(edges).mapInArrow(partial(_evens, lengths=lengths), f"gid long, n int, m long{kept}")
+
+
+def _cascade(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], incumbent: int, strict: bool) -> Iterator[pa.RecordBatch]:
+    limit = incumbent if strict else incumbent + 1  # a total that is pruned
+    for batch in batches:
+        graphs = Graphs(batch)
+        total, stage = np.zeros(len(graphs.order), np.int64), np.zeros(len(graphs.order), np.int32)
+        for length in lengths:
+            left = np.flatnonzero((stage == 0) & (graphs.order >= length))
+            if length in BY_PAIRS:
+                total[left] += even_cycles(graphs.some(left), length)
+            else:
+                total[left] += [search(graphs.near(i), length, cap=limit - int(total[i]))[0] for i in left.tolist()]
+            stage[left[total[left] >= limit]] = length
+        pruned = stage > 0
+        yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array(total, mask=pruned), pa.array(stage, mask=~pruned)], ["gid", "total", "pruned_at"])
 
 
 def cascade(edges: DataFrame, lengths: tuple[int, ...], incumbent: int, strict: bool = False) -> DataFrame:
     """(gid, total, pruned_at): lengths are scored in turn, and a graph goes as
-    soon as its total passes the incumbent (strict: reaches it). No length is
-    counted further than that takes."""
-    return nested(edges).mapInPandas(partial(_cascade, lengths=lengths, incumbent=incumbent, strict=strict), "gid long, total long, pruned_at int")
+    soon as its total passes the incumbent (strict: reaches it)."""
+    return nested(edges).mapInArrow(partial(_cascade, lengths=lengths, incumbent=incumbent, strict=strict), "gid long, total long, pruned_at int")
 
 
 def _witnesses(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:

@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 
 from girthkit.functions.scalar import graph_hash
 from girthkit.operators.cycles import neighbour_masks
-from girthkit.sources.corpus import adjacency, nested, vertices
+from girthkit.sources.corpus import nested
 
 
 def wl_hash(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """(gid, wl): vertices are relabelled by hashes of their own and their
-    neighbours' labels; the sorted labels of the last round are hashed."""
-    adj = adjacency(edges).select("gid", "u", "v")
-    label = adj.groupBy("gid", "u").agg(F.count("*").cast("string").alias("x"))
-    label = vertices(edges).select("gid", "u").join(label, ["gid", "u"], "left").withColumn("x", F.coalesce("x", F.lit("0")))
-    for _ in range(rounds):
-        near = adj.join(label.select("gid", F.col("u").alias("v"), F.col("x").alias("y")), ["gid", "v"]).groupBy("gid", "u").agg(F.array_join(F.array_sort(F.collect_list("y")), ",").alias("ys"))
-        label = label.join(near, ["gid", "u"], "left").select("gid", "u", F.sha2(F.concat("x", F.lit("|"), F.coalesce("ys", F.lit(""))).cast("binary"), 256).alias("x"))
-    return label.groupBy("gid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ",").cast("binary"), 256).alias("wl"))
+    neighbours' labels; the sorted labels of the last round are hashed. A graph
+    is one row with its neighbour lists, so all rounds run in place."""
+    ends = lambda x, near, far: F.transform(F.filter("edges", lambda e: e[near] == x), lambda e: e[far])
+    near = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.concat(ends(x, "u", "v"), ends(x, "v", "u")))
+    around = lambda labels, ns: F.array_join(F.array_sort(F.transform(ns, lambda w: F.get(labels, w))), ",")
+    relabel = lambda labels, _: F.transform("near", lambda ns, i: F.sha2(F.concat(F.get(labels, i), F.lit("|"), around(labels, ns)).cast("binary"), 256))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("near", lambda ns: F.size(ns).cast("string")), relabel)
+    return nested(edges).withColumn("near", near).select("gid", F.sha2(F.array_join(F.array_sort(last), ",").cast("binary"), 256).alias("wl"))
 
 
 def isomorphic(one: list[int], other: list[int]) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from girthkit.functions import scalar
 from girthkit.operators import cycles as K
 from girthkit.operators import graphs as G
-from girthkit.plans.primitives import APSP, C4_LIST, NUMBERED, OK, numbered_cycles, pair_distances
+from girthkit.plans.primitives import APSP, C4_LIST, NUMBERED
 from girthkit.plans.registry import query
 from girthkit.sources import corpus as C
 
@@ -32,8 +32,9 @@ def cycle8_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {RING}, {ADJ}, {walks_sql(8)}, k AS (SELECT gid, length, count(*) c FROM closed GROUP BY ALL) SELECT gn.gid, l.length, coalesce(c, 0) observed FROM gn CROSS JOIN (SELECT unnest([4, 8]) length) l LEFT JOIN k ON k.gid = gn.gid AND k.length = l.length")
 def cycle_count_L(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counts of C4 and C8 by the bit-mask search."""
-    return K.count_cycles(C.ring(spark, sf_dir), (4, 8)).select("gid", "length", "observed")
+    """Exact counts of C4 and C8 by pairs of half paths."""
+    found = K.count_evens(C.ring(spark, sf_dir), (4, 8))
+    return found.select("gid", F.explode(F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"c{x}").alias("observed")) for x in (4, 8)])).alias("k")).select("gid", "k.*")
 
 
 @query(f"WITH {RING}, {ADJ}, {C.C4_SQL} SELECT g.gid, least(coalesce(c4, 0), 10) observed, coalesce(c4, 0) < 10 complete FROM gn g LEFT JOIN c4t ON c4t.gid = g.gid")
@@ -123,7 +124,7 @@ geo AS (SELECT gid, count(*) pairs, min(distance) d_min, avg(distance) d_mean, m
 
 def geometry(e: DataFrame) -> DataFrame:
     """One row a graph from the pairs of its four-cycles."""
-    return pair_distances(e).groupBy("gid").agg(
+    return K.cycle_pairs(e).groupBy("gid").agg(
         F.count("*").alias("pairs"), F.min("distance").alias("d_min"), F.avg("distance").alias("d_mean"), F.max("distance").alias("d_max"),
         F.count_if(F.col("shared_edges") == 0).alias("edge_disjoint"),
         F.array_join(F.array_sort(F.collect_set(F.col("distance").cast("string"))), ",").alias("signature"),
@@ -174,7 +175,7 @@ def top_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GEOMETRY + " SELECT gid, round(avg(distance), 9) cycle_min, CAST(sum(distance) AS BIGINT) spread FROM pd GROUP BY gid")
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean least distance over pairs of four-cycles."""
-    return pair_distances(C.ring(spark, sf_dir)).groupBy("gid").agg(F.round(F.avg("distance"), 9).alias("cycle_min"), F.sum("distance").cast("long").alias("spread"))
+    return K.cycle_pairs(C.ring(spark, sf_dir)).groupBy("gid").agg(F.round(F.avg("distance"), 9).alias("cycle_min"), F.sum("distance").cast("long").alias("spread"))
 
 
 @query(f"WITH RECURSIVE {RING}, {ADJ}, {APSP} SELECT gid, min(CASE WHEN u = v THEN 0 ELSE d END) d FROM dist WHERE u % 5 = 0 AND v % 5 = 2 GROUP BY gid")

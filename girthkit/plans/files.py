@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from girthkit.operators import graphs as G
 from girthkit.plans.registry import query
-from girthkit.plans.scoring import SCORED, scored
+from girthkit.plans.scoring import CAP, SCORED, scored
 from girthkit.sources import corpus as C
 from girthkit.sources import records as R
 
@@ -19,7 +19,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     four, eight = F.col("c4").cast("string"), F.col("c8").cast("string")
     flat = F.concat(F.lit('{"components":{"4":'), four, F.when(F.col("gid") % 5 != 0, F.concat(F.lit(',"8":'), eight)).otherwise(F.lit("")), F.lit("}}"))
-    state = lambda x: F.when(x >= 20, "SATURATED_AT_CAP").otherwise("EXACT")
+    state = lambda x: F.when(x >= CAP, "SATURATED_AT_CAP").otherwise("EXACT")
     deep = F.concat(F.lit('{"score":{"components":{"4":{"observed":'), four, F.lit(',"status":"'), state(F.col("c4")), F.lit('"},"8":{"observed":'), eight, F.lit(',"status":"'), state(F.col("c8")), F.lit('"}}}}'))
     return s.select("gid", F.when(F.col("gid") % 2 == 0, flat).otherwise(deep).alias("json"))
 
@@ -33,12 +33,12 @@ def profile_from_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.profiles(hits(spark, sf_dir), (4, 8)).select("gid", "profile")
 
 
-@query(PROFILE + " SELECT gid FROM pf WHERE profile IN ('(4,2)', '(5,5)', '(10,6)', '(12,7)')")
+@query(PROFILE + " SELECT gid FROM pf WHERE profile IN ('(2,22)', '(5,50)', '(5,65)', '(7,45)')")
 def profile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.profiles(hits(spark, sf_dir), (4, 8)).filter(F.col("profile").isin("(4,2)", "(5,5)", "(10,6)", "(12,7)")).select("gid")
+    return R.profiles(hits(spark, sf_dir), (4, 8)).filter(F.col("profile").isin("(2,22)", "(5,50)", "(5,65)", "(7,45)")).select("gid")
 
 
-@query(PROFILE + " SELECT gid, CASE WHEN gid % 2 = 0 THEN c4 + CASE WHEN gid % 5 = 0 THEN 0 ELSE c8 END WHEN c4 < 20 AND c8 < 20 THEN c4 + c8 END total FROM pf")
+@query(PROFILE + " SELECT gid, CASE WHEN gid % 2 = 0 THEN c4 + CASE WHEN gid % 5 = 0 THEN 0 ELSE c8 END WHEN c4 < 64 AND c8 < 64 THEN c4 + c8 END total FROM pf")
 def exact_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the components; null unless every status is EXACT."""
     return R.totals(hits(spark, sf_dir)).select("gid", "total")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girthkit.functions import scalar
+from girthkit.operators import cycles as K
 from girthkit.operators import graphs as G
 from girthkit.plans.registry import query
 from girthkit.sources import corpus as C
+from girthkit.sources.records import scratch
 
 RING, ADJ, DEG, C4, C3 = C.RING_SQL, C.ADJ_SQL, C.DEG_SQL, C.C4_SQL, C.C3_SQL
 REACH = """reach AS (SELECT gid, n, CAST(0 AS INT) u FROM gn UNION SELECT r.gid, r.n, a.v FROM reach r JOIN adj a ON a.gid = r.gid AND a.u = r.u),
@@ -26,14 +28,18 @@ FROM e JOIN ok ON ok.gid = e.gid JOIN dt ON dt.gid = e.gid JOIN c4t ON c4t.gid =
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with its place in a total order. Rows are dealt to ranges of the
-    order, numbered within their range and shifted by the sizes of the ranges
-    before, so no task holds all rows."""
-    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    df = df.withColumn("_in", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = df.groupBy("_part").agg(F.count("*").alias("_k"))
+    order, numbered within their range, written once, and shifted by the sizes
+    of the ranges before, so no task holds all rows."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    dealt = dealt.withColumn("_in", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)).drop("_at")
+    path = scratch(spark, "ranked")
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_k"))
     before = F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
     starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
-    return df.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before") + 1).drop("_part", "_at", "_in", "_before")
+    return rows.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before") + 1).drop("_part", "_in", "_before")
 
 
 @query(FLAGSHIP)
@@ -42,7 +48,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = G.admissible_edges(C.ring(spark, sf_dir)).persist()
     m = e.groupBy("gid", "n").agg(F.count("*").alias("m"))
     out = m.join(G.degree_text(e).select("gid", F.col("compact").alias("degrees")), "gid").join(G.c4_count(e), "gid")
-    return ranked(out, ["c4", "m", "gid"], "place").select("gid", "n", "m", "degrees", "c4", "place")
+    placed = ranked(out, ["c4", "m", "gid"], "place").select("gid", "n", "m", "degrees", "c4", "place")
+    e.unpersist()
+    return placed
 
 
 @query(f"WITH {RING} SELECT gid, n, u, v FROM e")
@@ -145,8 +153,8 @@ def non_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.non_edges(C.ring(spark, sf_dir))
 
 
-C4_LIST = """cyc AS (SELECT x.gid, x.u a, least(x.v, y.v) b, z.u c, greatest(x.v, y.v) d FROM adj x JOIN adj y ON y.gid = x.gid AND y.u = x.u AND x.v < y.v
-  JOIN adj z ON z.gid = x.gid AND z.v = x.v AND z.u > x.u JOIN adj w ON w.gid = x.gid AND w.u = z.u AND w.v = y.v WHERE x.u < x.v AND x.u < y.v)"""
+C4_LIST = """half AS MATERIALIZED (SELECT x.gid, x.u a, x.v b, y.v c FROM adj x JOIN adj y ON y.gid = x.gid AND y.u = x.v WHERE x.v > x.u AND y.v > x.u),
+cyc AS MATERIALIZED (SELECT p.gid, p.a, p.b, p.c, q.b d FROM half p JOIN half q ON q.gid = p.gid AND q.a = p.a AND q.c = p.c WHERE p.b < q.b)"""
 
 
 @query(f"WITH {RING}, {ADJ}, {C4_LIST} SELECT gid, a, b, c, d FROM cyc")
@@ -155,21 +163,6 @@ def c4_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.c4_cycles(C.ring(spark, sf_dir))
 
 
-def numbered_cycles(e: DataFrame) -> DataFrame:
-    """Four-cycles with their number in the graph, vertices and edges."""
-    place = F.row_number().over(Window.partitionBy("gid").orderBy("a", "b", "c", "d"))
-    ends = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")]
-    sides = F.array(*[F.concat(F.least(x, y).cast("string"), F.lit("-"), F.greatest(x, y).cast("string")) for x, y in ends])
-    return G.c4_cycles(e).select("gid", place.alias("i"), F.array("a", "b", "c", "d").alias("vs"), sides.alias("es"))
-
-
-def cycle_pair_rows(e: DataFrame) -> DataFrame:
-    """Pairs of four-cycles of a graph: (gid, i, j, shared_vertices, shared_edges)."""
-    x = numbered_cycles(e)
-    y = x.toDF("gid", "j", "vs2", "es2")
-    return x.join(y, "gid").filter("i < j").select("gid", "i", "j", F.size(F.array_intersect("vs", "vs2")).alias("shared_vertices"), F.size(F.array_intersect("es", "es2")).alias("shared_edges"))
-
-
 NUMBERED = f"""{C4_LIST},
 num AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY a, b, c, d) i, [a, b, c, d] vs,
   [least(a,b) || '-' || greatest(a,b), least(b,c) || '-' || greatest(b,c), least(c,d) || '-' || greatest(c,d), least(a,d) || '-' || greatest(a,d)] es FROM cyc),
@@ -178,12 +171,12 @@ prs AS (SELECT x.gid, x.i, y.i j, len(list_intersect(x.vs, y.vs)) shared_vertice
 
 @query(f"WITH {RING}, {ADJ}, {NUMBERED} SELECT gid, count(*) pairs FROM prs GROUP BY gid")
 def cycle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycle_pair_rows(C.ring(spark, sf_dir)).groupBy("gid").agg(F.count("*").alias("pairs"))
+    return K.cycle_pairs(C.ring(spark, sf_dir)).groupBy("gid").agg(F.count("*").alias("pairs"))
 
 
 @query(f"WITH {RING}, {ADJ}, {NUMBERED} SELECT gid, shared_vertices, shared_edges, count(*) pairs FROM prs GROUP BY ALL")
 def cycle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycle_pair_rows(C.ring(spark, sf_dir)).groupBy("gid", "shared_vertices", "shared_edges").agg(F.count("*").alias("pairs"))
+    return K.cycle_pairs(C.ring(spark, sf_dir)).groupBy("gid", "shared_vertices", "shared_edges").agg(F.count("*").alias("pairs"))
 
 
 APSP = """walk AS (SELECT gid, n, u, v, 1 d FROM adj UNION SELECT w.gid, w.n, w.u, a.v, w.d + 1 FROM walk w JOIN adj a ON a.gid = w.gid AND a.u = w.v WHERE w.d < w.n AND w.d < 12 AND a.v <> w.u),
@@ -202,19 +195,5 @@ pd AS (SELECT p.gid, p.i, p.j, min(CASE WHEN a.x = b.x THEN 0 ELSE d.d END) dist
   LEFT JOIN dist d ON d.gid = p.gid AND d.u = a.x AND d.v = b.x GROUP BY ALL)
 SELECT gid, distance, count(*) pairs FROM pd GROUP BY ALL""")
 def cycle_pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distance between the vertices of two four-cycles, by pairs. Runs
-    on graphs whose cycle pairs meet mostly, so meeting pairs skip the join."""
-    e = C.ring(spark, sf_dir)
-    return pair_distances(e).groupBy("gid", "distance").agg(F.count("*").alias("pairs"))
-
-
-def pair_distances(e: DataFrame) -> DataFrame:
-    """(gid, i, j, shared_vertices, shared_edges, distance)."""
-    pairs = cycle_pair_rows(e)
-    meet = pairs.filter("shared_vertices > 0").withColumn("distance", F.lit(0))
-    apart = pairs.filter("shared_vertices = 0")
-    vs = numbered_cycles(e).select("gid", "i", "vs")
-    both = apart.join(vs, ["gid", "i"]).join(vs.toDF("gid", "j", "vs2"), ["gid", "j"])
-    rows = both.select("gid", "i", "j", "shared_vertices", "shared_edges", F.explode("vs").alias("u"), "vs2").select("gid", "i", "j", "shared_vertices", "shared_edges", "u", F.explode("vs2").alias("v"))
-    near = rows.join(G.distances(e).select("gid", "u", "v", "d"), ["gid", "u", "v"], "left").groupBy("gid", "i", "j", "shared_vertices", "shared_edges").agg(F.min("d").alias("distance"))
-    return meet.unionByName(near)
+    """Least distance between the vertices of two four-cycles, by pairs."""
+    return K.cycle_pairs(C.ring(spark, sf_dir)).groupBy("gid", "distance").agg(F.count("*").alias("pairs"))

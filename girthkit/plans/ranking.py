@@ -12,12 +12,17 @@ from girthkit.plans.scoring import SCORED, scored
 from girthkit.sources import corpus as C
 
 HASHED = SCORED + f", {C.HASH_SQL}, h AS (SELECT sc.*, graph_hash FROM sc JOIN hashes ON hashes.gid = sc.gid)"
+NAMED = f"WITH {C.RING_SQL}, {C.HASH_SQL}, h AS (SELECT gn.*, graph_hash FROM gn JOIN hashes ON hashes.gid = gn.gid)"
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).join(G.hashed(C.ring(spark, sf_dir)).select("gid", "graph_hash"), "gid")
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.hashed(C.ring(spark, sf_dir)).select("gid", "n", "graph_hash")
+
+
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     """The first k of an order (a top-k report) and their places. Each task
     keeps k rows; only those meet."""
@@ -123,25 +128,25 @@ def beam_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("lane", lane).filter("lane IS NOT NULL").select("gid", "n", "lane")
 
 
-@query(SCORED + ", k AS (SELECT gid, gid % 4 family, n parent, (row_number() OVER (PARTITION BY gid % 4, n ORDER BY gid) - 1) // 10 chunk FROM sc) SELECT gid, family, parent, chunk, row_number() OVER (ORDER BY chunk, family, parent, gid) place FROM k")
+@query(f"WITH {C.RING_SQL}, k AS (SELECT gid, gid % 4 family, n parent, (row_number() OVER (PARTITION BY gid % 4, n ORDER BY gid) - 1) // 10 chunk FROM gn) SELECT gid, family, parent, chunk, row_number() OVER (ORDER BY chunk, family, parent, gid) place FROM k")
 def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of ten a family and parent, dealt in turn."""
     chunk = F.floor((F.row_number().over(Window.partitionBy("family", "parent").orderBy("gid")) - 1) / 10)
-    rows = scored(spark, sf_dir).select("gid", (F.col("gid") % 4).alias("family"), F.col("n").alias("parent")).withColumn("chunk", chunk)
+    rows = C.ring(spark, sf_dir).select("gid", "n").distinct().select("gid", (F.col("gid") % 4).alias("family"), F.col("n").alias("parent")).withColumn("chunk", chunk)
     return ranked(rows, ["chunk", "family", "parent", "gid"], "place")
 
 
-@query(HASHED + " SELECT gid, n, r place FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY sha256('7:' || graph_hash), gid) r FROM h) WHERE r <= 32")
+@query(NAMED + " SELECT gid, n, r place FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY sha256('7:' || graph_hash), gid) r FROM h) WHERE r <= 32")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of 32 of each order by a seeded hash."""
     r = F.row_number().over(Window.partitionBy("n").orderBy(F.sha2(F.concat(F.lit("7:"), "graph_hash").cast("binary"), 256), "gid"))
-    return hashed(spark, sf_dir).withColumn("place", r).filter("place <= 32").select("gid", "n", "place")
+    return named(spark, sf_dir).withColumn("place", r).filter("place <= 32").select("gid", "n", "place")
 
 
-@query(HASHED + " SELECT gid, graph_hash, row_number() OVER (ORDER BY sha256('11:' || graph_hash), gid) - 1 position FROM h ORDER BY position LIMIT 100")
+@query(NAMED + " SELECT gid, graph_hash, row_number() OVER (ORDER BY sha256('11:' || graph_hash), gid) - 1 position FROM h ORDER BY position LIMIT 100")
 def line_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line of 100 graphs drawn without replacement by a seed."""
-    rows = hashed(spark, sf_dir).withColumn("o", F.sha2(F.concat(F.lit("11:"), "graph_hash").cast("binary"), 256))
+    rows = named(spark, sf_dir).withColumn("o", F.sha2(F.concat(F.lit("11:"), "graph_hash").cast("binary"), 256))
     return top(rows, 100, "o", "gid").select("gid", "graph_hash", (F.col("place") - 1).alias("position"))
 
 
@@ -152,11 +157,11 @@ def phase_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.when(F.expr("(event_id div 500) % 2 = 0"), "RANDOM").otherwise("ELITE").alias("phase"))
 
 
-@query(SCORED + ", up AS (SELECT gid leaf, gid, 0 depth FROM sc UNION ALL SELECT leaf, gid // 2, depth + 1 FROM up WHERE gid > 0) SELECT leaf, string_agg(CAST(gid AS VARCHAR), '/' ORDER BY depth DESC) path, max(depth) depth FROM up GROUP BY leaf")
+@query(f"WITH RECURSIVE {C.RING_SQL}, up AS (SELECT gid leaf, gid, 0 depth FROM gn UNION ALL SELECT leaf, gid // 2, depth + 1 FROM up WHERE gid > 0) SELECT leaf, string_agg(CAST(gid AS VARCHAR), '/' ORDER BY depth DESC) path, max(depth) depth FROM up GROUP BY leaf")
 def lineage_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path from the root to every graph, whose parent is its id halved: a
     generation is a hop, all hops of an id are a function of the id."""
-    rows = scored(spark, sf_dir).select(F.col("gid").alias("leaf"))
+    rows = C.ring(spark, sf_dir).select(F.col("gid").alias("leaf")).distinct()
     hops = F.expr("filter(transform(sequence(0, 62), k -> shiftright(leaf, k)), (x, k) -> k = 0 OR shiftright(leaf, k - 1) > 0)")
     rows = rows.withColumn("hops", hops)
     return rows.select("leaf", F.array_join(F.transform(F.reverse("hops"), lambda x: x.cast("string")), "/").alias("path"), (F.size("hops") - 1).alias("depth"))

@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girthkit.functions import scalar
+from girthkit.operators import cycles as K
 from girthkit.operators import graphs as G
+from girthkit.plans.cycles import walks_sql
 from girthkit.plans.primitives import OK
 from girthkit.plans.registry import query
 from girthkit.sources import corpus as C
 
-RING, ADJ, C4, C3 = C.RING_SQL, C.ADJ_SQL, C.C4_SQL, C.C3_SQL
+RING, ADJ, C4 = C.RING_SQL, C.ADJ_SQL, C.C4_SQL
 
-#: Scores of every ring graph: total and weighted total of C4 and triangles,
-#: the latter standing in for the second length. Capped components of both.
-SCORED = f"""WITH RECURSIVE {RING}, {ADJ}, {C4}, {C3},
+#: Cap of a bounded count.
+CAP = 64
+#: Scores of every ring graph: counts of the lengths 4 and 8, their total and
+#: weighted total.
+SCORED = f"""WITH RECURSIVE {RING}, {ADJ}, {C4}, {walks_sql(8)},
+c8t AS (SELECT gid, count(*) c8 FROM closed WHERE length = 8 GROUP BY gid),
 sz AS (SELECT gid, any_value(n) n, count(*) m FROM e GROUP BY gid),
-sc AS (SELECT sz.gid, sz.n, m, coalesce(c4, 0) c4, coalesce(c3, 0) c8, coalesce(c4, 0) + coalesce(c3, 0) total, 16 * coalesce(c4, 0) + 8 * coalesce(c3, 0) weighted
-  FROM sz LEFT JOIN c4t ON c4t.gid = sz.gid LEFT JOIN c3t ON c3t.gid = sz.gid)"""
+sc AS MATERIALIZED (SELECT sz.gid, sz.n, m, coalesce(c4, 0) c4, coalesce(c8, 0) c8, coalesce(c4, 0) + coalesce(c8, 0) total, 16 * coalesce(c4, 0) + 8 * coalesce(c8, 0) weighted
+  FROM sz LEFT JOIN c4t ON c4t.gid = sz.gid LEFT JOIN c8t ON c8t.gid = sz.gid)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = C.ring(spark, sf_dir)
-    tri = G.triangles(e).groupBy("gid").agg(F.count("*").alias("c8"))
-    rows = e.groupBy("gid", "n").agg(F.count("*").alias("m")).join(G.c4_count(e), "gid").join(tri, "gid", "left")
-    rows = rows.withColumn("c8", F.coalesce("c8", F.lit(0)))
+    """(gid, n, m, c4, c8, total, weighted) of every ring graph."""
     weight = lambda x: scalar.cycle_weight(F.lit(x))
-    return rows.withColumns({"total": F.col("c4") + F.col("c8"), "weighted": weight(4) * F.col("c4") + weight(8) * F.col("c8")}).select("gid", "n", "m", "c4", "c8", "total", "weighted")
+    rows = K.count_evens(C.ring(spark, sf_dir), (4, 8))
+    return rows.withColumns({"total": F.col("c4") + F.col("c8"), "weighted": weight(4) * F.col("c4") + weight(8) * F.col("c8")})
 
 
 @query(SCORED + " SELECT gid, total, weighted FROM sc")
@@ -35,19 +38,20 @@ def total_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("gid", "total", "weighted")
 
 
-ENERGY = SCORED + """, lim AS (SELECT *, least(total, 128) t, least(weighted, 1536) w, (3 * n + 1) // 2 lo FROM sc),
+ENERGY = SCORED + """, lim AS (SELECT *, least(c4, 64) + least(c8, 64) t, 16 * least(c4, 64) + 8 * least(c8, 64) w, (3 * n + 1) // 2 lo FROM sc),
 en AS (SELECT *, CAST((t * 1537 + w) * (n * (n - 1) // 2 - lo + 1) + m - lo AS BIGINT) energy, CAST((CAST(128 AS BIGINT) * 1537 + 1536) * (n * (n - 1) // 2 - lo + 1) + n * (n - 1) // 2 - lo AS BIGINT) energy_max FROM lim)"""
 
 
 def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumns({"t": F.least("total", F.lit(128).cast("long")), "w": F.least("weighted", F.lit(1536).cast("long"))})
-    energy, most = scalar.energy_columns(F.col("n"), F.col("t"), F.col("w"), F.col("m"), 2, 24, 64)
+    four, eight = (F.least(c, F.lit(CAP).cast("long")) for c in ("c4", "c8"))
+    rows = scored(spark, sf_dir).withColumns({"t": four + eight, "w": scalar.cycle_weight(F.lit(4)) * four + scalar.cycle_weight(F.lit(8)) * eight})
+    energy, most = scalar.energy_columns(F.col("n"), F.col("t"), F.col("w"), F.col("m"), 2, 24, CAP)
     return rows.withColumns({"energy": energy, "energy_max": most})
 
 
 @query(ENERGY + " SELECT gid, energy, energy_max, round(1 - energy / energy_max, 9) utility FROM en")
 def energy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of (total, weighted, edges) and the utility."""
+    """Energy of (total, weighted, edges) of the capped counts, and the utility."""
     return energies(spark, sf_dir).select("gid", "energy", "energy_max", F.round(1 - F.col("energy") / F.col("energy_max"), 9).alias("utility"))
 
 
@@ -68,7 +72,7 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DELTAS = SCORED + """, lens AS (SELECT gid, 4 length, c4 observed FROM sc UNION ALL SELECT gid, 8, c8 FROM sc WHERE c8 > 0),
-st AS (SELECT gid, length, least(observed, 20) lo, observed < 20 exact FROM lens),
+st AS (SELECT gid, length, least(observed, 64) lo, observed < 64 exact FROM lens),
 pr AS (SELECT a.gid child, a.gid - 13 parent, a.length, a.lo, a.exact FROM st a WHERE a.gid >= 13 UNION ALL SELECT p.gid + 13, p.gid, p.length, 0, true FROM st p
   WHERE p.gid + 13 IN (SELECT gid FROM sc) AND NOT EXISTS (SELECT 1 FROM st a WHERE a.gid = p.gid + 13 AND a.length = p.length)),
 dl AS (SELECT pr.child, pr.length, pr.lo clo, pr.exact cex, coalesce(p.lo, 0) plo, coalesce(p.exact, true) pex FROM pr LEFT JOIN st p ON p.gid = pr.parent AND p.length = pr.length)"""
@@ -77,10 +81,10 @@ dl AS (SELECT pr.child, pr.length, pr.lo clo, pr.exact cex, coalesce(p.lo, 0) pl
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(child, length, clo, cex, plo, pex): a graph and the one 13 ids before,
     of the same order, length by length; a missing component counts 0 exactly.
-    Counts of 20 and more are known to be at least 20 only."""
+    Counts of CAP and more are known to be at least that only."""
     rows = scored(spark, sf_dir)
     long = rows.select("gid", F.explode(F.array(F.struct(F.lit(4).alias("length"), F.col("c4").alias("o")), F.struct(F.lit(8).alias("length"), F.col("c8").alias("o")))).alias("x")).select("gid", "x.length", "x.o").filter("length = 4 OR o > 0")
-    state = long.select("gid", "length", F.least("o", F.lit(20).cast("long")).alias("lo"), (F.col("o") < 20).alias("ex"))
+    state = long.select("gid", "length", F.least("o", F.lit(CAP).cast("long")).alias("lo"), (F.col("o") < CAP).alias("ex"))
     child = state.filter("gid >= 13").select(F.col("gid").alias("child"), "length", F.col("lo").alias("clo"), F.col("ex").alias("cex"))
     parent = state.join(rows.select((F.col("gid") - 13).alias("gid")), "gid", "left_semi").select((F.col("gid") + 13).alias("child"), "length", F.col("lo").alias("plo"), F.col("ex").alias("pex"))
     both = child.join(parent, ["child", "length"], "full")
@@ -147,10 +151,10 @@ def corpus_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat(F.lit("gen"), F.col("s").cast("string")).alias("generator"), "attempts", "rejected", "duplicates", "accepted")
 
 
-@query(SCORED + ", sh AS (SELECT gid % 16 shard, count(*) generated, count(*) FILTER (WHERE total <= 20) scored FROM sc GROUP BY 1) SELECT CAST(sum(generated) AS BIGINT) generated, CAST(sum(scored) AS BIGINT) scored, CAST(sum(generated - scored) AS BIGINT) pruned, count(*) = 16 exact FROM sh")
+@query(SCORED + ", sh AS (SELECT gid % 16 shard, count(*) generated, count(*) FILTER (WHERE total <= 250) scored FROM sc GROUP BY 1) SELECT CAST(sum(generated) AS BIGINT) generated, CAST(sum(scored) AS BIGINT) scored, CAST(sum(generated - scored) AS BIGINT) pruned, count(*) = 16 exact FROM sh")
 def shard_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the shards' ledger; exact when all 16 shards are there."""
-    sh = scored(spark, sf_dir).groupBy((F.col("gid") % 16).alias("shard")).agg(F.count("*").alias("generated"), F.count_if(F.col("total") <= 20).alias("scored"))
+    sh = scored(spark, sf_dir).groupBy((F.col("gid") % 16).alias("shard")).agg(F.count("*").alias("generated"), F.count_if(F.col("total") <= 250).alias("scored"))
     return sh.agg(F.sum("generated").alias("generated"), F.sum("scored").alias("scored"), F.sum(F.col("generated") - F.col("scored")).alias("pruned"), (F.count("*") == 16).alias("exact"))
 
 

@@ -1,10 +1,14 @@
 """Known graphs, closed forms and agreement of independent counters."""
 
+import itertools
+import random
+from fractions import Fraction
 from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
-from girthkit.functions.scalar import EnergyScale
+from girthkit.functions.scalar import energy_columns
 from girthkit.operators import cycles as K
 from girthkit.operators import graphs as G
 from girthkit.operators import iso as I
@@ -60,11 +64,33 @@ def test_connected_and_admissible(spark):
     assert got == {1: (True, "none"), 2: (False, "disconnected"), 3: (False, "degree")}
 
 
-def test_energy():
-    assert EnergyScale(8, (4,), 4).energy_max == 5524
-    scale = EnergyScale(4, (4,), 64)
-    assert scale.energy(3, 48, 6) == 3123
-    assert scale.utility(3, 48, 6).as_integer_ratio() == (61, 64)
+def test_energy(spark):
+    row = spark.createDataFrame([(8, 0, 0, 12), (4, 3, 48, 6)], "n int, t long, w long, m long")
+    columns = [F.col(c) for c in "ntwm"]
+    wide, narrow = (row.select(*energy_columns(*columns, 1, 16, cap)).collect() for cap in (4, 64))
+    assert wide[0][1] == 5524
+    assert narrow[1][0] == 3123 and 1 - Fraction(*narrow[1]) == Fraction(61, 64)
+
+
+def test_even_cycles_by_pairs(spark):
+    rng = random.Random(5)
+    graphs = {1: complete(4), 2: complete(8), 3: PETERSEN}
+    for gid in range(4, 30):
+        n = rng.randint(4, 13)
+        graphs[gid] = n, [p for p in itertools.combinations(range(n), 2) if rng.random() < 0.45] or [(0, 1)]
+    got = {r.gid: (r.c4, r.c6, r.c8) for r in K.count_evens(frame(spark, graphs), (4, 6, 8)).collect()}
+    for gid, (n, edges) in graphs.items():
+        near = K.neighbour_masks(n, [{"u": u, "v": v} for u, v in edges])
+        assert got[gid] == tuple(K.search(near, x)[0] for x in (4, 6, 8))
+    assert got[2] == (210, 1680, 2520)
+    found = {r.gid: (r.total, r.pruned_at) for r in K.cascade(frame(spark, graphs), (4, 5, 8), 60).collect()}
+    for gid, (n, edges) in graphs.items():
+        near, total, stage = K.neighbour_masks(n, [{"u": u, "v": v} for u, v in edges]), 0, None
+        for x in (4, 5, 8):
+            if stage is None and x <= n:
+                total += K.search(near, x)[0]
+                stage = x if total > 60 else None
+        assert found[gid] == (None if stage else total, stage)
 
 
 def test_graph6(spark):
