@@ -3,15 +3,16 @@ DataFrame functions only.
 
 Leaves are paragraphs: the text is cut after every line break and, so that a
 text of one long line still has branches, after every sentence end. A section
-closes after each leaf whose hash has its low three bits unset, so sections
+closes after each leaf whose hash has three certain bits unset, so sections
 are about eight leaves long and an edit moves the borders of its own section
 only. A leaf's hash covers its text, a section's the hashes of its leaves, the
 root those of the sections in their order. Printed form:
 
     root|section:leaf.length,leaf.length;section:...
 
-(root 32 hex digits, sections 12, leaves 12, lengths in code points). Equal
-texts have equal fingerprints; roots of different texts differ.
+(root 32 hex digits, sections 12, leaves 12, lengths in code points); parents
+hash the whole hashes of their children. Equal texts have equal fingerprints;
+roots of different texts differ.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import unused
 
 #: Cuts after a line break or after a sentence end and its spaces.
 CUT = r"(?<=\n)|(?<=[.!?][\x20\x09])(?=[^\x20\x09\n])"
@@ -27,16 +28,18 @@ CUT = r"(?<=\n)|(?<=[.!?][\x20\x09])(?=[^\x20\x09\n])"
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the fingerprint of a text column (null: empty). The empty text
-    has one empty leaf. Long texts have as many leaves as they have."""
-    leaf = lambda x: F.concat(F.substring(F.sha2(x.cast("binary"), 256), 1, 12), F.lit("."), F.length(x))
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_leaves", F.transform(F.split(body, CUT), leaf))
-    # a leaf whose last hash digit is 0 or 8 ends its section
-    marked = F.regexp_replace(F.array_join("_leaves", ","), r"([0-9a-f]{11}[08]\.\d+),", "$1;")
-    df = df.withColumn("_sections", F.transform(F.split(marked, ";"), lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 12), F.lit(":"), s)))
-    tops = F.array_join(F.transform("_sections", lambda s: F.substring(s, 1, 12)), "")
-    root = F.substring(F.sha2(F.concat(tops, F.lit("/"), F.sha2(body.cast("binary"), 256)).cast("binary"), 256), 1, 32)
-    return df.withColumn(name, F.concat(root, F.lit("|"), F.array_join("_sections", ";"))).drop("_leaves", "_sections")
+    has one empty leaf. Long texts have as many leaves as they have. An empty
+    table gives no rows; equal rows get equal fingerprints."""
+    full, sections = unused(df, "full"), unused(df, "sections")
+    leaf = lambda x: F.concat(F.sha2(x.cast("binary"), 256), F.lit("."), F.length(x))
+    leaves = F.array_join(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), CUT), leaf), ",")
+    # a leaf whose twelfth digit is 0 or 8 ends its section
+    df = df.withColumn(full, F.split(F.regexp_replace(leaves, r"([0-9a-f]{11}[08][0-9a-f]{52}\.\d+),", "$1;"), ";"))
+    df = df.withColumn(sections, F.transform(full, lambda s: F.sha2(s.cast("binary"), 256)))
+    root = F.substring(F.sha2(F.array_join(sections, "").cast("binary"), 256), 1, 32)
+    short = F.regexp_replace(F.array_join(full, ";"), r"([0-9a-f]{12})[0-9a-f]{52}\.", "$1.")
+    shown = F.zip_with(sections, F.split(short, ";"), lambda s, own: F.concat(F.substring(s, 1, 12), F.lit(":"), own))
+    return df.withColumn(name, F.concat(root, F.lit("|"), F.array_join(shown, ";"))).drop(full, sections)
 
 
 def _weight(leaves: Column) -> Column:
@@ -49,15 +52,16 @@ def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
     only the leaves of differing sections are compared. Null if either is."""
     parts = lambda c: F.split(F.substring_index(F.col(c), "|", -1), ";")
     leaves = lambda s: F.array_distinct(F.flatten(F.transform(s, lambda x: F.split(F.substring_index(x, ":", -1), ","))))
-    df = df.withColumns({"_a": F.array_distinct(parts(one)), "_b": F.array_distinct(parts(other))})
-    df = df.withColumn("_same", F.array_intersect("_a", "_b"))
-    df = df.withColumns({"_c": leaves(F.col("_same")), "_a": leaves(F.array_except("_a", "_same")), "_b": leaves(F.array_except("_b", "_same"))})
-    df = df.withColumns({"_a": F.array_except("_a", "_c"), "_b": F.array_except("_b", "_c")})
-    df = df.withColumn("_both", _weight(F.col("_c")) + _weight(F.array_intersect("_a", "_b")))
-    df = df.withColumn("_all", _weight(F.col("_c")) + _weight(F.array_union("_a", "_b")))
-    root = lambda c: F.substring_index(F.col(c), "|", 1)
-    likeness = F.when(root(one) == root(other), 1.0).when(F.col("_all") == 0, 0.0).otherwise(2 * F.col("_both") / (F.col("_both") + F.col("_all")))
-    return df.withColumn(name, F.when(F.col(one).isNull() | F.col(other).isNull(), F.lit(None)).otherwise(likeness)).drop("_a", "_b", "_c", "_same", "_both", "_all")
+    a, b, c, same, both, everything = (unused(df, x) for x in ("a", "b", "c", "same", "both", "everything"))
+    df = df.withColumns({a: F.array_distinct(parts(one)), b: F.array_distinct(parts(other))})
+    df = df.withColumn(same, F.array_intersect(a, b))
+    df = df.withColumns({c: leaves(F.col(same)), a: leaves(F.array_except(a, same)), b: leaves(F.array_except(b, same))})
+    df = df.withColumns({a: F.array_except(a, c), b: F.array_except(b, c)})
+    df = df.withColumn(both, _weight(F.col(c)) + _weight(F.array_intersect(a, b)))
+    df = df.withColumn(everything, _weight(F.col(c)) + _weight(F.array_union(a, b)))
+    root = lambda x: F.substring_index(F.col(x), "|", 1)
+    likeness = F.when(root(one) == root(other), 1.0).when(F.col(everything) == 0, 0.0).otherwise(2 * F.col(both) / (F.col(both) + F.col(everything)))
+    return df.withColumn(name, F.when(F.col(one).isNull() | F.col(other).isNull(), F.lit(None)).otherwise(likeness)).drop(a, b, c, same, both, everything)
 
 
 def differing_sections(df: DataFrame, one: str, other: str) -> DataFrame:

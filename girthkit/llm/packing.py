@@ -4,9 +4,9 @@ Documents become token pieces of at most CAPACITY tokens. Packing depends on
 the lengths alone, so it is solved on the histogram of lengths (at most
 CAPACITY rows, whatever the input): branch and bound fills a sequence around
 the largest piece left, tries the undominated fillings, fullest first, uses a
-filling as often as the counts allow, and prunes by the waste that the best
+filling as often as the counts allow, then less often, and prunes by the waste that the best
 solution so far would not have. Best-fit decreasing gives the first incumbent;
-a solution as good as the bound of the total length ends the search. Pieces
+a solution as good as the lower bound ends the search. Pieces
 are then numbered within their length, in salted buckets, and find their place
 by their number.
 """
@@ -14,6 +14,8 @@ by their number.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -26,8 +28,9 @@ from .common import small_batches, written
 from .words import LOWER, Cache, Texts, Words, chunks, hashes
 
 CAPACITY = 2048
-#: Nodes that the search opens at most before it keeps its incumbent.
-NODES = 6000
+#: Nodes that the search opens at most before it keeps its incumbent, and
+#: partial fillings that it looks at in a node.
+NODES, STEPS = 6000, 1500
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -140,106 +143,104 @@ def _dominated(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], width: int = 4, steps: int = 1500) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, fullest first, `width` at most. lengths:
-    in descending order. Looks at `steps` partial fillings at most."""
-    found: list[tuple[int, ...]] = []
-    budget = [steps]
-
-    def extend(at: int, left: int, items: tuple[int, ...]) -> bool:
-        low, high = at, len(lengths)
-        while low < high:  # the first length that fits
-            middle = (low + high) // 2
-            if lengths[middle] > left:
-                low = middle + 1
-            else:
-                high = middle
-        if low == len(lengths):
-            found.append(items)
-            return left == 0
-        for k in range(low, len(lengths)):
-            budget[0] -= 1
-            if budget[0] < 0:
-                return True
+def fillings(room: int, lengths: list[int], counts: dict[int, int], steps: int = STEPS) -> list[tuple[int, ...]]:
+    """The undominated fillings of a room, fullest first. lengths: in
+    descending order. Looks at `steps` partial fillings at most, those with
+    the longest pieces first; then the greedy one is among the fillings."""
+    found: set[tuple[int, ...]] = set()
+    left_steps = steps
+
+    def extend(at: int, left: int, items: tuple[int, ...]) -> None:
+        nonlocal left_steps
+        at = bisect_left(lengths, -left, at, key=lambda x: -x)  # the first length that fits
+        if at == len(lengths):
+            found.add(items)
+            return
+        for k in range(at, len(lengths)):
             length = lengths[k]
-            if left - length and left - length < lengths[-1] and found and sum(found[-1]) >= sum(items) + length:
-                continue
-            most = min(counts[length], left // length)
-            for times in range(most, 0, -1):
-                if extend(k + 1, left - times * length, items + (length,) * times):
-                    return True
-        return False
+            for times in range(min(counts[length], left // length), 0, -1):
+                left_steps -= 1
+                if left_steps < 0:
+                    return
+                extend(k + 1, left - times * length, items + (length,) * times)
 
     if room and lengths:
         extend(0, room, ())
-    if budget[0] < 0 and room:  # what fits greedily, whatever the budget
+    if left_steps < 0:
         left, items = room, ()
         for length in lengths:
             times = min(counts[length], left // length)
             items, left = items + (length,) * times, left - times * length
-        found.append(items)
-    found = sorted(set(found), key=lambda x: (-sum(x), len(x), x))
+        found.add(items)
     kept: list[tuple[int, ...]] = []
-    for items in found[: 6 * width]:
-        if len(kept) < width and not any(len(items) <= 8 and len(k) <= 8 and _dominated(items, k) for k in kept):
+    for items in sorted(found, key=lambda x: (-sum(x), len(x), x)):
+        if not any(len(items) <= 8 and len(k) <= 8 and _dominated(items, k) for k in kept):
             kept.append(items)
     return kept or [()]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """(number of sequences, their lengths) for all pieces: bin completion."""
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: by the total length, and for each threshold k by the
+    pieces over half the capacity, which lie alone, with what the pieces of k
+    up to half need beyond the room that is left beside them."""
+    number = np.zeros(capacity + 1, np.int64)
+    for length, count in counts.items():
+        number[length] = count
+    size = number * np.arange(capacity + 1)
+    half, best = capacity // 2, -(-int(size.sum()) // capacity)
+    many, much = np.cumsum(number), np.cumsum(size)
+    for k in range(half + 1):
+        alone = many[capacity] - many[half]
+        beside = (many[capacity - k] - many[half]) * capacity - (much[capacity - k] - much[half])
+        small = much[half] - (much[k - 1] if k else 0)
+        best = max(best, int(alone + max(0, -(-(small - beside) // capacity))))
+    return best
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> Plan:
+    """(number of sequences, their lengths) for all pieces: bin completion.
+    Opens `nodes` nodes at most and looks at `steps` partial fillings in each;
+    beyond that the incumbent stays. A filling is tried as often as the counts
+    allow, then less often."""
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
-    bound = -(-total // capacity)
+    bound = least_sequences(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for n, _ in best)
-    left = [nodes]
-
-    def search(counts: dict[int, int], used: int, waste: int, plan: Plan) -> bool:
-        """True if the search is over."""
-        nonlocal best, fewest
-        while True:
-            if used + -(-sum(k * v for k, v in counts.items()) // capacity) >= fewest:
-                return False
-            if not counts:
-                best, fewest = plan, used
-                return fewest == bound
-            if waste > (fewest - 1) * capacity - total:
-                return False
-            left[0] -= 1
-            if left[0] < 0:
-                return True
-            largest = max(counts)
-            rest = dict(counts)
-            rest[largest] -= 1
-            if not rest[largest]:
-                del rest[largest]
-            ways = fillings(capacity - largest, sorted(rest, reverse=True), rest)
-            for k, items in enumerate(ways):
-                content = (largest, *items)
-                need: dict[int, int] = {}
-                for x in content:
-                    need[x] = need.get(x, 0) + 1
-                times = min(counts[x] // n for x, n in need.items())
-                after = {x: v - times * need.get(x, 0) for x, v in counts.items()}
-                after = {x: v for x, v in after.items() if v}
-                step = (after, used + times, waste + times * (capacity - sum(content)), [*plan, (times, content)])
-                if k + 1 < len(ways):
-                    if search(*step):
-                        return True
-                else:  # the last way needs no stack
-                    counts, used, waste, plan = step
-        return False
-
-    import sys
-
-    deep = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(deep, 20_000))
-    try:
-        if fewest > bound:
-            search(counts, 0, 0, [])
-    finally:
-        sys.setrecursionlimit(deep)
+    # a stack of generators: a filling's uses can be many levels deep
+    opened = 0
+
+    def ways(counts: dict[int, int], used: int, waste: int, plan: tuple | None) -> Iterator[tuple]:
+        largest = max(counts)
+        rest = {k: v - (k == largest) for k, v in counts.items() if v > (k == largest)}
+        for items in fillings(capacity - largest, sorted(rest, reverse=True), rest, steps):
+            content = (largest, *items)
+            need = Counter(content)
+            for times in range(min(counts[x] // n for x, n in need.items()), 0, -1):
+                after = {x: v - times * need[x] for x, v in counts.items() if v > times * need[x]}
+                yield after, used + times, waste + times * (capacity - sum(content)), (times, content, plan)
+
+    stack = [iter([(counts, 0, 0, None)])] if fewest > bound else []
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        left, used, waste, plan = step
+        if used + -(-sum(k * v for k, v in left.items()) // capacity) >= fewest or waste > (fewest - 1) * capacity - total:
+            continue
+        if not left:
+            fewest, best = used, []
+            while plan is not None:
+                times, content, plan = plan
+                best.append((times, content))
+            if fewest == bound:
+                break
+            continue
+        opened += 1
+        if opened > nodes:
+            break
+        stack.append(ways(*step))
     return best
 
 
@@ -274,10 +275,11 @@ def _place(batches: Iterator[pa.RecordBatch], places: object) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> DataFrame:
     """Pieces with sequence_id and offset. Pieces of one length are alike, so
-    which of them goes where is settled by (doc_id, piece), null ids first.
-    No pieces, no sequences."""
+    which of them goes where is settled by (doc_id, piece), null ids first;
+    repeated rows are pieces of their own, and which of them goes where is
+    open. No pieces, no sequences."""
     spark = parts.sparkSession
     parts = written(parts, "pieces")
     total = parts.count()
@@ -285,7 +287,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Data
     parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = written(parts.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "lengths")
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
-    places = spark.sparkContext.broadcast(_places(complete_bins(counts, capacity, nodes)))
+    places = spark.sparkContext.broadcast(_places(complete_bins(counts, capacity, nodes, steps)))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1

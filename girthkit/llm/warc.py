@@ -40,7 +40,9 @@ def base32_sha1(data: Column) -> Column:
 def with_revisits(df: DataFrame, key: str, payload: str, min_bytes: int = 0) -> DataFrame:
     """df with payload_bytes, payload_digest, record_type and refers_to. Of
     rows with equal payloads of min_bytes or more, that with the largest key
-    is the response. Payloads that occur once stay where they are: only rows
+    is the response (all that have it, should it be repeated); a null key is
+    smaller than any other, and rows without any key are all responses.
+    Payloads that occur once stay where they are: only rows
     that a Bloom filter holds for repeated move."""
     df = df.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": base32_sha1(F.col(payload))})
     alone, repeated = split_repeated(df.filter(F.col("payload_bytes") >= min_bytes), "payload_digest")
@@ -50,7 +52,7 @@ def with_revisits(df: DataFrame, key: str, payload: str, min_bytes: int = 0) ->
     settled = join_groups(repeated, groups, "payload_digest", "_n", narrow.count()).drop("_n")
     alone = alone.unionByName(small) if min_bytes > 0 else alone
     df = settled.unionByName(alone.withColumn("_last", F.lit(None).cast(df.schema[key].dataType)))
-    df = df.withColumn("refers_to", F.when(F.col(key) < F.col("_last"), F.col("_last"))).drop("_last")
+    df = df.withColumn("refers_to", F.when(F.col(key).isNull() | (F.col(key) < F.col("_last")), F.col("_last"))).drop("_last")
     return df.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -65,7 +67,7 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", url: str = "url",
     body = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col(payload).cast("string")))
     head = F.concat(
         F.lit(f"{MAGIC.decode()}WARC-Type: "), F.col("record_type"),
-        F.lit(f"{crlf}WARC-Record-ID: <urn:page:"), F.col(key).cast("string"), F.lit(">"),
+        F.lit(f"{crlf}WARC-Record-ID: <urn:page:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(">"),
         F.lit(f"{crlf}WARC-Date: 2024-01-01T00:00:00Z{crlf}WARC-Target-URI: "), clean,
         F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit(f"{crlf}WARC-Payload-Length: "), F.col("payload_bytes").cast("string"),
@@ -156,41 +158,40 @@ RECORD = "path string, at long, record_id string, record_type string, target_uri
 
 
 def read_warc(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """The records of every .txt, .warc or other file in a folder. Empty files
-    have none; a broken chain is an error that names the file and offset."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    files = [(str(f.getPath().toString()), f.getLen()) for f in listed if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
-    blocks = [(name, size, start) for name, size in files for start in range(0, size, block)]
-    schema = "path string, size long, start long"
-    if not blocks:
+    """The records of every file in a folder (hidden ones apart). Empty files
+    have none; a broken chain is an error that names the file and offset.
+    Files are listed, cut into blocks and followed as tables."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", F.col("length").alias("size"))
+    files = written(files, "files")
+    number, largest = files.agg(F.sum(F.ceil(F.col("size") / block)), F.max("size")).first()
+    if not number:
         return spark.createDataFrame([], RECORD)
-    table = spark.createDataFrame(blocks, schema).repartition(len(blocks), "path", "start")
-    links = written(table.mapInPandas(partial(_candidates, block=block), "path string, at long, next long"), "links")
+    tasks = min(number, max(4 * spark.sparkContext.defaultParallelism, number // 16))
+    blocks = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))))
+    blocks = blocks.repartition(tasks, "path", "start")
+    links = written(blocks.mapInPandas(partial(_candidates, block=block), "path string, at long, next long"), "links")
     # pointer jumping: `reached` are block entries, `links` jump 2^k blocks
-    reached = spark.createDataFrame([(name, 0) for name, _ in files], "path string, at long")
-    rounds = max(1, (max(size for _, size in files) // block + 1).bit_length())
-    for _ in range(rounds):
+    reached = files.withColumn("at", F.lit(0).cast("long"))
+    for _ in range(max(1, (largest // block + 1).bit_length())):
         hop = links.select("path", "at", "next")
-        ahead = reached.join(hop, ["path", "at"]).select("path", F.col("next").alias("at"))
-        sizes = F.broadcast(spark.createDataFrame(files, "path string, size long"))
-        reached = written(reached.union(ahead.join(sizes, "path").filter("at < size").select("path", "at")).distinct(), "reached")
+        ahead = reached.join(hop, ["path", "at"]).select("path", "size", F.col("next").alias("at")).filter("at < size")
+        reached = written(reached.union(ahead).distinct(), "reached")
         onward = links.select("path", F.col("at").alias("next"), F.col("next").alias("_n"))
         links = written(links.join(onward, ["path", "next"], "left").select("path", "at", F.coalesce("_n", "next").alias("next")), "links")
-    entries = reached.join(spark.createDataFrame(files, "path string, size long"), "path").select("path", "size", F.col("at").alias("entry"))
-    entries = entries.repartition(len(blocks), "path", "entry")
+    entries = reached.select("path", "size", F.col("at").alias("entry")).repartition(tasks, "path", "entry")
     return entries.mapInPandas(partial(_records, size_of_block=block), RECORD)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, block: int = BLOCK) -> DataFrame:
     """Write pages (page_id, url, html) as WARC archives in the shared folder,
     read them back, and return what the records say. Null html counts as
-    empty; ids are unique."""
+    empty; null and repeated ids are records of their own, as with_revisits
+    has them; an empty table gives no rows."""
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     path = fresh_path(spark, "warc")
     write_warc(with_revisits(rows, "page_id", "payload", min_bytes), path)
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     got = read_warc(spark, path, block)
     bad = F.when(~F.col("digest_ok"), F.raise_error(F.concat(F.lit("digest differs: "), "record_id")).cast("string"))
     return got.select(
