@@ -29,8 +29,11 @@ from .words import LOWER, Cache, Texts, Words, chunks, hashes
 
 CAPACITY = 2048
 #: Nodes that the search opens at most before it keeps its incumbent, and
-#: partial fillings that it looks at in a node.
-NODES, STEPS = 6000, 1500
+#: partial fillings that it looks at in all.
+NODES, STEPS = 6000, 1_000_000
+#: Partial fillings that a node looks at before it first goes deeper, and
+#: fillings that another is held against.
+SOON, NEAREST = 1500, 40
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -143,30 +146,31 @@ def _dominated(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], steps: int = STEPS) -> list[tuple[int, ...]]:
+def fillings(room: int, lengths: list[int], counts: dict[int, int], steps: list[int], one: bool = False) -> list[tuple[int, ...]]:
     """The undominated fillings of a room, fullest first. lengths: in
-    descending order. Looks at `steps` partial fillings at most, those with
-    the longest pieces first; then the greedy one is among the fillings."""
+    descending order. Looks at steps[0] partial fillings at most, those with
+    the longest pieces first, and takes them off; once they are used up the
+    greedy filling stands for what was not seen. one: ends with the first
+    filling that leaves no room. A filling is held against the NEAREST fullest
+    others, which may keep a dominated one; that costs work only."""
     found: set[tuple[int, ...]] = set()
-    left_steps = steps
 
-    def extend(at: int, left: int, items: tuple[int, ...]) -> None:
-        nonlocal left_steps
+    def extend(at: int, left: int, items: tuple[int, ...]) -> bool:
         at = bisect_left(lengths, -left, at, key=lambda x: -x)  # the first length that fits
         if at == len(lengths):
             found.add(items)
-            return
+            return one and left == 0
         for k in range(at, len(lengths)):
             length = lengths[k]
             for times in range(min(counts[length], left // length), 0, -1):
-                left_steps -= 1
-                if left_steps < 0:
-                    return
-                extend(k + 1, left - times * length, items + (length,) * times)
+                steps[0] -= 1
+                if steps[0] < 0 or extend(k + 1, left - times * length, items + (length,) * times):
+                    return True
+        return False
 
     if room and lengths:
         extend(0, room, ())
-    if left_steps < 0:
+    if steps[0] < 0:
         left, items = room, ()
         for length in lengths:
             times = min(counts[length], left // length)
@@ -174,7 +178,7 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], steps: int =
         found.add(items)
     kept: list[tuple[int, ...]] = []
     for items in sorted(found, key=lambda x: (-sum(x), len(x), x)):
-        if not any(len(items) <= 8 and len(k) <= 8 and _dominated(items, k) for k in kept):
+        if not any(len(items) <= 8 and len(k) <= 8 and _dominated(items, k) for k in kept[:NEAREST]):
             kept.append(items)
     return kept or [()]
 
@@ -199,21 +203,30 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> Plan:
     """(number of sequences, their lengths) for all pieces: bin completion.
-    Opens `nodes` nodes at most and looks at `steps` partial fillings in each;
-    beyond that the incumbent stays. A filling is tried as often as the counts
-    allow, then less often."""
+    Opens `nodes` nodes at most and looks at `steps` partial fillings in all;
+    beyond that the incumbent stays. A node tries a full filling that is found
+    soon, as often as the counts allow, then less often, and when the search
+    comes back to it all its other fillings in the same way."""
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
     bound = least_sequences(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for n, _ in best)
     # a stack of generators: a filling's uses can be many levels deep
-    opened = 0
+    opened, left_steps = 0, [steps]
+
+    def contents(counts: dict[int, int], largest: int) -> Iterator[tuple[int, ...]]:
+        rest = {k: v - (k == largest) for k, v in counts.items() if v > (k == largest)}
+        lengths, soon = sorted(rest, reverse=True), [min(SOON, left_steps[0])]
+        before = soon[0]
+        first = fillings(capacity - largest, lengths, rest, soon, one=True)[0]
+        left_steps[0] -= before - max(soon[0], 0)
+        yield first
+        yield from (x for x in fillings(capacity - largest, lengths, rest, left_steps) if x != first)
 
     def ways(counts: dict[int, int], used: int, waste: int, plan: tuple | None) -> Iterator[tuple]:
         largest = max(counts)
-        rest = {k: v - (k == largest) for k, v in counts.items() if v > (k == largest)}
-        for items in fillings(capacity - largest, sorted(rest, reverse=True), rest, steps):
+        for items in contents(counts, largest):
             content = (largest, *items)
             need = Counter(content)
             for times in range(min(counts[x] // n for x, n in need.items()), 0, -1):
@@ -238,7 +251,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
                 break
             continue
         opened += 1
-        if opened > nodes:
+        if opened > nodes or left_steps[0] <= 0:
             break
         stack.append(ways(*step))
     return best

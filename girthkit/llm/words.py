@@ -156,20 +156,21 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
-    """Whether data[start:end] equals data[start2:end2], for each row."""
-    size, eights = end - start, _eights(data)
-    same = size == end2 - start2
-    live = np.flatnonzero(same & (start != start2))
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, data2: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] equals data2[start2:end2], for each row."""
+    size, same = end - start, end - start == end2 - start2
+    eights = _eights(data)
+    eights2 = eights if data2 is data else _eights(data2)
+    live = np.flatnonzero(same & (start != start2)) if data2 is data else np.flatnonzero(same)
     for k in range(SHORT // 8):
         live = live[size[live] > 8 * k]
         if not len(live):
             return same
-        equal = _block(eights, start[live], size[live], k) == _block(eights, start2[live], size[live], k)
+        equal = _block(eights, start[live], size[live], k) == _block(eights2, start2[live], size[live], k)
         same[live[~equal]] = False
         live = live[equal]
     for i in live[size[live] > SHORT].tolist():
-        same[i] = np.array_equal(data[start[i] : end[i]], data[start2[i] : end2[i]])
+        same[i] = np.array_equal(data[start[i] : end[i]], data2[start2[i] : end2[i]])
     return same
 
 
@@ -177,7 +178,7 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each distinct word, the distinct word of each word), by
     bytes: words that only share a hash are told apart."""
     _, at, codes = np.unique(words.hash, return_index=True, return_inverse=True)
-    odd = np.flatnonzero(~same_bytes(words.texts.data, words.start, words.end, words.start[at][codes], words.end[at][codes])) if len(codes) else codes
+    odd = np.flatnonzero(~same_bytes(words.texts.data, words.start, words.end, words.texts.data, words.start[at][codes], words.end[at][codes])) if len(codes) else codes
     if len(odd):
         found: dict[bytes, int] = {}
         codes, more = codes.copy(), []
@@ -197,20 +198,34 @@ class Cache:
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 150_000):
         self.encode, self.most = encode, most
-        self.known: dict[bytes, bytes] = {}
+        # hashes in order, values, and the words' bytes with their places
+        self.keys, self.values, self.store = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.uint8)
+        self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(value of each distinct word, the distinct word of each word)."""
         at, codes = distinct(words)
-        raw = [words.word(i) for i in at.tolist()]
-        values = np.empty(len(raw), object)
-        values[:] = list(map(self.known.get, raw))
-        new = [i for i, v in enumerate(values) if v is None]
-        if new:
-            made = self.encode([raw[i] for i in new])
+        keys, values = words.hash[at], np.empty(len(at), object)
+        known = held = np.zeros(len(at), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            held = self.keys[place] == keys
+            known = held & same_bytes(words.texts.data, words.start[at], words.end[at], self.store, self.start[place], self.end[place])
+            values[known] = self.values[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = [words.word(i) for i in at[new].tolist()]
+            made = self.encode(raw)
             values[new] = np.fromiter(made, object, len(made))
-            for i in new[: max(0, self.most - len(self.known))]:
-                self.known[raw[i]] = values[i]
+            # a hash is held once: what collides with a held word stays out
+            free = np.flatnonzero(~held[new])
+            free = free[np.unique(keys[new[free]], return_index=True)[1]][: max(0, self.most - len(self.keys))]
+            sizes = np.array([len(raw[i]) for i in free.tolist()], np.int64)
+            ends = len(self.store) + np.cumsum(sizes)
+            order = np.argsort(both := np.concatenate([self.keys, keys[new[free]]]), kind="stable")
+            self.keys, self.values = both[order], np.concatenate([self.values, values[new[free]]])[order]
+            self.start, self.end = np.concatenate([self.start, ends - sizes])[order], np.concatenate([self.end, ends])[order]
+            self.store = np.concatenate([self.store, np.frombuffer(b"".join([raw[i] for i in free.tolist()]), np.uint8)])
         return values, codes
 
 

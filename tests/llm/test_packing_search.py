@@ -38,9 +38,9 @@ def test_optimal_where_best_fit_is_not():
 
 def test_fillings_are_the_undominated_ones():
     # 7 = 4+3 = 4+2+1 = 3+3+1 ..., of which 4+3 holds pieces that cover the rest
-    assert fillings(7, [4, 3, 2, 1], {4: 1, 3: 2, 2: 1, 1: 1}) == [(4, 3)]
-    assert fillings(9, [6, 5, 4], {6: 1, 5: 1, 4: 1}) == [(5, 4), (6,)]
-    assert fillings(3, [5, 4], {5: 1, 4: 1}) == [()]
+    assert fillings(7, [4, 3, 2, 1], {4: 1, 3: 2, 2: 1, 1: 1}, [1000]) == [(4, 3)]
+    assert fillings(9, [6, 5, 4], {6: 1, 5: 1, 4: 1}, [1000]) == [(5, 4), (6,)]
+    assert fillings(3, [5, 4], {5: 1, 4: 1}, [1000]) == [()]
 
 
 def test_fewer_uses_of_a_filling():
