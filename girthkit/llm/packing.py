@@ -67,18 +67,19 @@ def _cache(path: str) -> Cache:
 
 def without_stops(words: Words) -> Words:
     """words with a full stop or comma after an ASCII letter as a word of its
-    own. The tokenizer cuts there anyway, and so there are fewer distinct
-    words."""
+    own, and A-Z lowered. The tokenizer cuts there and lowers anyway, and so
+    there are fewer distinct words."""
     data, start, end = words.texts.data, words.start, words.end
     last, before = data[end - 1], data[np.maximum(end - 2, 0)] | 0x20
     cut = np.flatnonzero((end - start > 1) & ((last == 0x2E) | (last == 0x2C)) & (before >= 97) & (before <= 122))
     out = object.__new__(Words)
-    out.texts = words.texts
+    out.texts = object.__new__(Texts)
+    out.texts.data, out.texts.offsets = LOWER[data], words.texts.offsets
     ends = end.copy()
     ends[cut] -= 1
     out.start, out.end = np.insert(start, cut + 1, ends[cut]), np.insert(ends, cut + 1, end[cut])
     out.first = words.first + np.searchsorted(cut, words.first)
-    out.hash = hashes(LOWER[data], out.start, out.end)
+    out.hash = hashes(out.texts.data, out.start, out.end)
     return out
 
 
