@@ -8,7 +8,7 @@ carry no keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +75,12 @@ def hash_bits(docs: DataFrame) -> int:
 
 
 @contextmanager
-def same_scan(spark: SparkSession) -> Iterator[None]:
-    """The same cut of a scan in every pass, whatever executors come and go,
-    and small Arrow batches."""
-    cut, rows = "spark.sql.files.minPartitionNum", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = {name: spark.conf.get(name, None) for name in (cut, rows)}
-    spark.conf.set(cut, before[cut] or str(spark.sparkContext.defaultParallelism))
-    spark.conf.set(rows, "1000")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (their dots as two underscores) for a while."""
+    wanted = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -90,3 +89,15 @@ def same_scan(spark: SparkSession) -> Iterator[None]:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def brief_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files go when the query that wrote them ends."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def same_scan(spark: SparkSession) -> AbstractContextManager[None]:
+    """The same cut of a scan in every pass, whatever executors come and go,
+    and small Arrow batches."""
+    cut = spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)
+    return settings(spark, spark__sql__files__minPartitionNum=cut, spark__sql__execution__arrow__maxRecordsPerBatch="1000")
