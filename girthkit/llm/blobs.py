@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, local_path
-from .words import stretch, unpack
+from .words import stretch, unique, unpack
 
 
 def edges(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -32,7 +32,7 @@ def merge(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray
     blocks after the first begin."""
     table = table.sort_by("block")
     keys = [unpack(b) for b in table.column("keys").to_pylist()]
-    _, first, codes = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    _, first, codes = unique(np.concatenate(keys))
     return table, codes, first, np.cumsum([len(k) for k in keys])[:-1]
 
 

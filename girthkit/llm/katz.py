@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .blobs import brief_shuffles, by_block, by_range, edges, fetch, hash_bits, merge, same_scan
 from .common import delete, fresh_path, held_out
-from .words import Texts, Words, chunks, mix, pack, squeeze, stretch
+from .words import Texts, Words, chunks, mix, pack, squeeze, stretch, unique
 
 #: Tokens of a block, counts up to which Good-Turing discounts.
 BLOCK = 1_200_000
@@ -115,7 +115,7 @@ class Block:
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, at, codes = np.unique(values, return_index=True, return_inverse=True)
+    keys, at, codes = unique(values)
     return keys, at.astype(np.int32), codes.astype(np.int32)
 
 
