@@ -45,11 +45,16 @@ def rows_of(path: str, block: int, columns: list[str]) -> pa.Table:
     return pq.read_table(f"{folder}/bucket={block >> 20}", filesystem=system, partitioning=None, columns=columns, filters=[("block", "=", block)])
 
 
-def fetch(path: str, block: int, n: int, dtype: type) -> np.ndarray:
-    """The answers to a block's question about order n, range after range."""
+def fetched(path: str, block: int, n: int, dtype: type) -> list[np.ndarray]:
+    """The answers to a block's question about order n, one a range."""
     table = rows_of(path, block, ["n", "part", "answer"])
     table = table.filter(pc.equal(table.column("n"), n)).sort_by("part")
-    return np.concatenate([np.zeros(0, dtype), *(stretch(b, dtype) for b in table.column("answer").to_pylist())])
+    return [stretch(b, dtype) for b in table.column("answer").to_pylist()]
+
+
+def fetch(path: str, block: int, n: int, dtype: type) -> np.ndarray:
+    """The same, range after range."""
+    return np.concatenate([np.zeros(0, dtype), *fetched(path, block, n, dtype)])
 
 
 def by_range(asked: DataFrame, bits: int, orders: int = 1) -> DataFrame:

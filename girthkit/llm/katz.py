@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import brief_shuffles, by_block, by_range, edges, fetch, hash_bits, merge, same_scan
+from .blobs import brief_shuffles, by_block, by_range, edges, fetch, fetched, hash_bits, merge, same_scan
 from .common import delete, fresh_path, held_out
 from .words import Texts, Words, chunks, mix, pack, squeeze, stretch, unique
 
@@ -169,8 +169,12 @@ def _ask(batches: Iterator[pa.RecordBatch], step: int, order: int, bits: int, mo
         else:
             known = _known(model, block, own, step)
             lower = _probabilities(model, block, own, known, step - 1)
-            keys, _, asked, sums, numbers = _sums(own, step, known, lower)
-            rows = _rows(step, block, bits, keys[asked], sums[asked], numbers[asked])
+            keys, after, asked, sums, numbers = _sums(own, step, known, lower)
+            # a back-off weight is told only where an unseen n-gram asks for it
+            unseen = known[step - 1][0][own.distinct[step - 1][2]] == 0
+            need = np.zeros(len(keys), np.int64)
+            need[after[unseen]] = 1
+            rows = _rows(step, block, bits, keys[asked], sums[asked], np.column_stack([numbers, need])[asked])
             if top > step:
                 asked, counts = own.shared(top, known[step - 1][2]), own.local(top)
                 rows += _rows(top, block, bits, own.distinct[top - 1][0][asked], counts[asked].astype(np.int32), stats=_stats(counts[~asked]))
@@ -184,9 +188,10 @@ def _answer(key: tuple, table: pa.Table, step: int, model: Model | None) -> pa.T
     blocks = table.column("block").to_pylist()
     if model is not None and n == step:
         sums = np.bincount(codes, np.concatenate([stretch(b, np.float64) for b in table.column("first").to_pylist()]), len(first))
-        numbers = np.concatenate([stretch(b, np.int64).reshape(DISCOUNTED + 1, -1) for b in table.column("numbers").to_pylist()], axis=1)
+        *numbers, need = np.concatenate([stretch(b, np.int64).reshape(DISCOUNTED + 2, -1) for b in table.column("numbers").to_pylist()], axis=1)
         pairs = _weights(model, n, sums, np.stack([np.bincount(codes, row, len(first)) for row in numbers], axis=1))
-        blobs, stats = [squeeze(pairs[c].ravel()) for c in np.split(codes, cuts)], []
+        told = [np.stack([pairs[c, 0], pairs[c, 1] * m], axis=1) for c, m in zip(np.split(codes, cuts), np.split(need, cuts))]
+        blobs, stats = [squeeze(x.T.ravel()) for x in told], []
     else:
         counts = np.concatenate([stretch(b, np.int32) for b in table.column("first").to_pylist()])
         totals = np.bincount(codes, counts, len(first)).astype(np.int64)
@@ -273,7 +278,7 @@ def _probabilities(model: Model, block: int, own: Block, known: Known, upto: int
     for n in range(2, upto + 1):
         _, codes, asked, sums, numbers = _sums(own, n, known, p)
         weights = _weights(model, n, sums, numbers)
-        weights[asked] = fetch(model.answers[n - 1], block, n, np.float64).reshape(-1, 2)
+        weights[asked] = np.concatenate([x.reshape(2, -1).T for x in fetched(model.answers[n - 1], block, n, np.float64)])
         count = known[n - 1][0][own.distinct[n - 1][2]]
         bottom, alpha = weights[codes, 0], weights[codes, 1]
         seen = discounted(count, model.discounts[n]) / np.maximum(bottom, 1)
