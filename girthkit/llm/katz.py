@@ -172,7 +172,7 @@ def _ask(batches: Iterator[pa.RecordBatch], step: int, order: int, bits: int, mo
             keys, after, asked, sums, numbers = _sums(own, step, known, lower)
             # a back-off weight is told only where an unseen n-gram asks for it
             unseen = known[step - 1][0][own.distinct[step - 1][2]] == 0
-            need = np.zeros(len(keys), np.int64)
+            need = np.zeros(len(keys), np.int32)
             need[after[unseen]] = 1
             rows = _rows(step, block, bits, keys[asked], sums[asked], np.column_stack([numbers, need])[asked])
             if top > step:
@@ -188,7 +188,7 @@ def _answer(key: tuple, table: pa.Table, step: int, model: Model | None) -> pa.T
     blocks = table.column("block").to_pylist()
     if model is not None and n == step:
         sums = np.bincount(codes, np.concatenate([stretch(b, np.float64) for b in table.column("first").to_pylist()]), len(first))
-        *numbers, need = np.concatenate([stretch(b, np.int64).reshape(DISCOUNTED + 2, -1) for b in table.column("numbers").to_pylist()], axis=1)
+        *numbers, need = np.concatenate([stretch(b, np.int32).reshape(DISCOUNTED + 2, -1) for b in table.column("numbers").to_pylist()], axis=1)
         pairs = _weights(model, n, sums, np.stack([np.bincount(codes, row, len(first)) for row in numbers], axis=1))
         told = [np.stack([pairs[c, 0], pairs[c, 1] * m], axis=1) for c, m in zip(np.split(codes, cuts), np.split(need, cuts))]
         blobs, stats = [squeeze(x.T.ravel()) for x in told], []
@@ -252,7 +252,7 @@ def _sums(own: Block, n: int, known: Known, lower: np.ndarray) -> tuple[np.ndarr
     at, count = own.distinct[n - 1][1][mine], count[mine]
     after = codes[at]
     sums = np.bincount(after, lower[at], len(contexts))
-    numbers = np.zeros((len(contexts), DISCOUNTED + 1), np.int64)
+    numbers = np.zeros((len(contexts), DISCOUNTED + 1), np.int32)
     numbers[:, 0] = np.bincount(after, count, len(contexts))
     for r in range(1, DISCOUNTED + 1):
         numbers[:, r] = np.bincount(after[count == r], minlength=len(contexts))
