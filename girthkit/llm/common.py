@@ -101,6 +101,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return hot.unionByName(cold)
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """Let go of what finished queries hold: the driver's plans, task records
+    and broadcasts (with them their blocks on executors) go with a collection,
+    and freed memory goes back to the system."""
+    import gc
+
+    from .words import release
+
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (node, root): root is the smallest node that links
     reach. Alternates the large-star and small-star steps, whose map side
@@ -122,6 +135,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         sign = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         delete(spark, written_path(now)) if now.inputFiles() else None
         now = step
+        settle_driver(spark)
         if sign == last:
             break
         last = sign
