@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from girthkit.llm import dedup, jaccard, packing, secrets, toxicity
-from girthkit.llm.common import fresh_path, table
+from girthkit.llm.common import fresh_path, settle_driver, table
 from girthkit.llm.queries import pattern, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        settle_driver(spark)
     return docs
