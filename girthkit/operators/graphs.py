@@ -31,8 +31,9 @@ def degree_text(edges: DataFrame) -> DataFrame:
 
 
 def masks(edges: DataFrame) -> DataFrame:
-    """(gid, n, u, mask): neighbours as bits of a long, orders up to 63."""
-    bit = F.expr("shiftleft(1L, v)")
+    """(gid, n, u, mask): neighbours as bits of a long; orders beyond 63 are an
+    error, for a shift by more would wrap."""
+    bit = F.when(F.col("n") <= 63, F.expr("shiftleft(1L, v)")).otherwise(F.raise_error(F.lit("vertex sets as bits end at order 63")).cast("long"))
     return adjacency(edges).groupBy("gid", "n", "u").agg(F.bit_or(bit).alias("mask"))
 
 
@@ -52,7 +53,7 @@ def admissible(edges: DataFrame, low: int = 4, high: int = 63, least: int = 3) -
     """(gid, n, min_degree, admissible, reason); the first failing rule names
     the reason: order, disconnected, degree."""
     d = degrees(edges).groupBy("gid", "n").agg(F.min("d").alias("min_degree"))
-    out = d.join(connected(edges), ["gid", "n"])
+    out = d.join(connected(edges.filter(F.col("n").between(low, high))), ["gid", "n"], "left")
     reason = F.when((F.col("n") < low) | (F.col("n") > high), "order").when(~F.col("connected"), "disconnected").when(F.col("min_degree") < least, "degree").otherwise("none")
     return out.select("gid", "n", "min_degree", (reason == "none").alias("admissible"), reason.alias("reason"))
 

@@ -146,3 +146,11 @@ def test_corpora(spark, sf):
     assert G.triangles(ring).count() == 1923
     dense = C.dense(spark, sf)
     assert dense.count() == 3070 and G.c4_count(dense).agg({"c4": "sum"}).first()[0] == 39935
+
+
+def test_orders_beyond_the_bits(spark):
+    e = frame(spark, {1: complete(64), 2: complete(63), 3: complete(4)})
+    got = {r.gid: (r.admissible, r.reason) for r in G.admissible(e).collect()}
+    assert got == {1: (False, "order"), 2: (True, "none"), 3: (True, "none")}
+    with pytest.raises(Exception, match="end at order 63"):
+        G.connected(e).collect()
