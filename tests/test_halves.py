@@ -70,7 +70,7 @@ def test_ring_bits_with_nulls(spark, sf, tmp_path):
     assert got == want and len(got) > 20
 
 
-@pytest.mark.parametrize("name", ["cycle_spectrum", "cycle8_paths", "apply_growth", "mut_c8_relocate", "mut_endpoint_relocate"])
+@pytest.mark.parametrize("name", ["cycle_spectrum", "cycle8_paths", "apply_growth", "mut_c8_relocate", "mut_endpoint_relocate", "mut_c8_switch"])
 def test_one_shuffle_a_query(spark, sf, name):
     """Rows of paths or moves are not shuffled: graphs are, once."""
     assert shuffles(registry.QUERIES[name](spark, sf)) == 1
