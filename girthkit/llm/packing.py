@@ -14,6 +14,7 @@ by their number.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -177,8 +178,12 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], steps: list[
             times = min(counts[length], left // length)
             items, left = items + (length,) * times, left - times * length
         found.add(items)
+    order = sorted(found)  # by sum, number and items, with no long keys at once
+    found.clear()
+    order.sort(key=len)
+    order.sort(key=sum, reverse=True)
     kept: list[tuple[int, ...]] = []
-    for items in sorted(found, key=lambda x: (-sum(x), len(x), x)):
+    for items in order:
         if not any(len(items) <= 8 and len(k) <= 8 and _dominated(items, k) for k in kept[:NEAREST]):
             kept.append(items)
     return kept or [()]
@@ -213,48 +218,76 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     bound = least_sequences(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for n, _ in best)
-    # a stack of generators: a filling's uses can be many levels deep
-    opened, left_steps = 0, [steps]
+    # A stack of generators: a filling's uses can be many levels deep. All share
+    # what is left at the node on top, so a level keeps no histogram of its own.
+    opened, left_steps, left, plan = 1, [steps], dict(counts), []
+    used = waste = 0
 
-    def contents(counts: dict[int, int], largest: int) -> Iterator[tuple[int, ...]]:
-        rest = {k: v - (k == largest) for k, v in counts.items() if v > (k == largest)}
-        lengths, soon = sorted(rest, reverse=True), [min(SOON, left_steps[0])]
+    def room(largest: int, steps: list[int], one: bool = False) -> list[tuple[int, ...]]:
+        rest = {k: v - (k == largest) for k, v in left.items() if v > (k == largest)}
+        return fillings(capacity - largest, sorted(rest, reverse=True), rest, steps, one)
+
+    def contents(largest: int) -> Iterator[tuple[int, ...]]:
+        soon = [min(SOON, left_steps[0])]
         before = soon[0]
-        first = fillings(capacity - largest, lengths, rest, soon, one=True)[0]
+        first = room(largest, soon, one=True)[0]
         left_steps[0] -= before - max(soon[0], 0)
         yield first
-        yield from (x for x in fillings(capacity - largest, lengths, rest, left_steps) if x != first)
-
-    def ways(counts: dict[int, int], used: int, waste: int, plan: tuple | None) -> Iterator[tuple]:
-        largest = max(counts)
-        for items in contents(counts, largest):
+        items, sizes = array("i"), array("i")  # tuples of all would be ten times as large
+        for filling in room(largest, left_steps):
+            if filling != first:
+                items.extend(filling)
+                sizes.append(len(filling))
+        at = 0
+        for size in sizes:
+            yield tuple(items[at : at + size])
+            at += size
+
+    def ways() -> Iterator[tuple[int, tuple[int, ...]]]:
+        largest = max(left)
+        for items in contents(largest):
             content = (largest, *items)
             need = Counter(content)
-            for times in range(min(counts[x] // n for x, n in need.items()), 0, -1):
-                after = {x: v - times * need[x] for x, v in counts.items() if v > times * need[x]}
-                yield after, used + times, waste + times * (capacity - sum(content)), (times, content, plan)
-
-    stack = [iter([(counts, 0, 0, None)])] if fewest > bound else []
+            for times in range(min(left[x] // n for x, n in need.items()), 0, -1):
+                yield times, content
+
+    def take(times: int, content: tuple[int, ...]) -> None:
+        """Of what is left; with times below 0, back."""
+        nonlocal used, waste, total_left
+        for x in content:
+            left[x] = left.get(x, 0) - times
+            if not left[x]:
+                del left[x]
+        used, waste, total_left = used + times, waste + times * (capacity - sum(content)), total_left - times * sum(content)
+
+    def back() -> None:
+        times, content = plan.pop()
+        take(-times, content)
+
+    total_left = total
+    stack = [ways()] if fewest > bound and nodes > 0 and steps > 0 else []
     while stack:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
+            if plan:
+                back()
             continue
-        left, used, waste, plan = step
-        if used + -(-sum(k * v for k, v in left.items()) // capacity) >= fewest or waste > (fewest - 1) * capacity - total:
+        take(*step)
+        plan.append(step)
+        if used + -(-total_left // capacity) >= fewest or waste > (fewest - 1) * capacity - total:
+            back()
             continue
         if not left:
-            fewest, best = used, []
-            while plan is not None:
-                times, content, plan = plan
-                best.append((times, content))
+            fewest, best = used, plan[::-1]
             if fewest == bound:
                 break
+            back()
             continue
         opened += 1
         if opened > nodes or left_steps[0] <= 0:
             break
-        stack.append(ways(*step))
+        stack.append(ways())
     return best
 
 

@@ -53,3 +53,22 @@ def test_bound_of_pieces_over_half():
     assert least_sequences({6: 5}, 10) == 5
     assert least_sequences({6: 4, 5: 3}, 10) == 6
     assert least_sequences({}, 10) == 0 and complete_bins({}, 10) == []
+
+
+def test_memory_of_a_deep_search():
+    """A level keeps no histogram of its own: the driver holds the search."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    counts = {length: rng.randint(1, 4) for length in range(682, 1300)}
+    tracemalloc.start()
+    plan = complete_bins(counts, 2048, nodes=700, steps=20_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = Counter()
+    for times, content in plan:
+        assert sum(content) <= 2048
+        for x in content:
+            held[x] += times
+    assert held == counts
+    assert most < 7 << 20, most
