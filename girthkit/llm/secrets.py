@@ -184,13 +184,14 @@ def _redact(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: f
         texts = [t if t is None else redact(t, scan(t, strings, ratio)) for t in batch.column("text").to_pylist()]
         new = {"text": pa.array(texts, pa.string())}
         if "n_chars" in batch.schema.names:
-            new["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
+            old = batch.column("n_chars").to_pylist()
+            new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, old)], pa.int64()).cast(batch.schema.field("n_chars").type)
         yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
 
 
 def redact_documents(df: DataFrame, path: str, pattern: str, ratio: float = RATIO) -> DataFrame:
     """df with every span of its text column masked, and n_chars (if it has
-    that column, in its type) counted again. Null texts stay null and have 0
-    characters. Rows and other columns stay."""
+    that column, in its type) counted again. Null texts stay null, with the
+    n_chars they have. Rows and other columns stay."""
     small_batches(df.sparkSession)
     return df.mapInArrow(partial(_redact, path=path, pattern=pattern, ratio=ratio), df.schema)
