@@ -16,15 +16,17 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import by_block, by_range, hash_bits, rows_of, same_scan
 from .common import delete, fresh_path
-from .words import Texts, Words, chunks, distinct, squeeze, stretch
+from .words import Texts, Words, chunks, distinct, fronts, joined, squeeze, stretch, words_at
 
 MARK = "▁"
 #: Bytes of text whose distinct words make one question.
@@ -33,8 +35,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Pieces:
-    """Encodes marked words: each to its ids and, if decoding them does not
-    give the word back, the surface that they decode to (else nothing)."""
+    """Encodes marked words: the number of ids of each, the ids, and for each
+    word that decoding them does not give back the surface that they decode to
+    (else nothing)."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -45,16 +48,20 @@ class Pieces:
                 raise ValueError("a piece crosses a white-space marker; chunks can't be segmented alone")
         self.space = self.model.piece_to_id(MARK)
 
-    def __call__(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        return [v for a in range(0, len(words), 16384) for v in self.some(words[a : a + 16384])]
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        parts = [self.some(words[a : a + 16384]) for a in range(0, len(words), 16384)] or [self.some([])]
+        counts, ids, surfaces = zip(*parts)
+        return np.concatenate(counts), np.concatenate(ids), list(chain.from_iterable(surfaces))
 
-    def some(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
+    def some(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         # the library puts a marker of its own before the text: it stands for
         # the word's first space
         ids = self.model.encode([w[1:].decode() for w in words], num_threads=1)
         ids = [x or [self.space] for x in ids]
-        surfaces = [b" " + s.encode() for s in self.model.decode(ids)]
-        return [(x, b"" if s == w else s) for x, s, w in zip(ids, surfaces, words)]
+        surfaces = [b" " + s.encode() for s in self.model.decode(ids)] if ids else []
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+        return counts, flat, [b"" if s == w else s for s, w in zip(surfaces, words)]
 
 
 @lru_cache(1)
@@ -83,24 +90,23 @@ def chunk_words(texts: Texts) -> tuple[Words, Texts]:
 
 
 class Block:
-    """Some texts of a scan: chunks of rows with their words, and the distinct
-    words of all of them by hash range and bytes, the order of the question."""
-
-    def __init__(self, number: int, rows: list[tuple[pa.RecordBatch, Words, Texts]], bits: int):
-        self.number, self.rows, self.places = number, rows, []
-        parts: dict[bytes, int] = {}
-        raw = []
-        for _, words, _ in rows:
-            at, codes = distinct(words)
-            raw.append(([words.word(i) for i in at.tolist()], codes))
-            parts.update(zip(raw[-1][0], (words.hash[at] >> np.uint64(64 - bits)).tolist()))
-        asked = sorted((p, w) for w, p in parts.items())
-        self.words = [w for _, w in asked]
-        self.cuts = np.searchsorted([p for p, _ in asked], np.arange((1 << bits) + 1)).tolist()
-        place = {w: i for i, w in enumerate(self.words)}
-        for own, codes in raw:
-            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            self.places.append(at[codes].tolist() if len(codes) else [])
+    """Some texts of a scan: their words, the distinct ones by hash range and
+    first bytes (the order of the question), and which of them is where."""
+
+    def __init__(self, number: int, rows: list[pa.RecordBatch], bits: int):
+        self.number, self.doc_id = number, pa.concat_arrays([r.column("doc_id") for r in rows])
+        self.words, self.marked = words, marked = chunk_words(Texts(pa.concat_arrays([r.column("text") for r in rows])))
+        at, codes = distinct(words)
+        part = (words.hash[at] >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((fronts(marked.data, words.start[at] + 1, words.end[at]), part))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.places, self.at = place[codes], at[order]
+        self.cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+
+    def asked(self) -> list[tuple[int, int, bytes]]:
+        start, end = self.words.start[self.at], self.words.end[self.at]
+        return [(p, self.number, _listed(end[a:b] - start[a:b], joined(self.marked.data, start[a:b], end[a:b]))) for p, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])) if b > a]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Block]:
@@ -108,9 +114,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Block]:
 
     task, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
     for batch in chunks(batches):
-        words, marked = chunk_words(Texts(batch.column("text")))
-        rows.append((batch, words, marked))
-        held += len(marked.data)
+        rows.append(batch)
+        held += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
         if held > BLOCK:
             yield Block(task << 20 | number, rows, bits)
             rows, held, number = [], 0, number + 1
@@ -118,22 +123,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Block]:
         yield Block(task << 20 | number, rows, bits)
 
 
-def _listed(words: list[bytes]) -> bytes:
-    """Byte strings as one blob."""
+def _listed(sizes: np.ndarray, body: np.ndarray | bytes) -> bytes:
+    """Byte strings, one after the other, as one blob."""
     import zstandard
 
-    sizes = np.fromiter(map(len, words), np.int32, len(words))
-    return zstandard.ZstdCompressor(level=3).compress(np.int32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.int32(len(sizes)).tobytes() + sizes.astype(np.int32).tobytes() + bytes(body))
 
 
-def _unlisted(blob: bytes) -> list[bytes]:
+def _unlisted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, the byte strings one after the other)."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
     count = int(np.frombuffer(data, np.int32, 1)[0])
-    ends = np.cumsum(np.frombuffer(data, np.int32, count, 4)).tolist()
-    body = data[4 + 4 * count :]
-    return [body[a:b] for a, b in zip([0, *ends], ends)]
+    return np.frombuffer(data, np.int32, count, 4).astype(np.int64), np.frombuffer(data, np.uint8, offset=4 + 4 * count)
 
 
 ASKED = "part int, block long, words binary"
@@ -142,7 +145,7 @@ ANSWER = "part int, block long, counts binary, ids binary, surfaces binary"
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches, bits):
-        rows = [(p, block.number, _listed(block.words[a:b])) for p, (a, b) in enumerate(zip(block.cuts, block.cuts[1:])) if b > a]
+        rows = block.asked()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "words"])
 
 
@@ -150,59 +153,61 @@ def _segment(table: pa.Table, model: str) -> pa.Table:
     """A range of the table: each distinct word is segmented once. An answer
     has the ids of a question's words and, for each, the surface that they
     decode to or nothing if it is the word."""
-    asked = [_unlisted(b) for b in table.column("words").to_pylist()]
-    known = list(dict.fromkeys(w for words in asked for w in words))
-    made = dict(zip(known, _pieces(model)(known)))
-    answers = []
-    for words in asked:
-        own = [made[w] for w in words]
-        ids = np.array([i for x, _ in own for i in x], np.uint32)
-        answers.append((squeeze(np.array([len(x) for x, _ in own], np.uint32)), squeeze(ids), _listed([s for _, s in own])))
+    sizes, bodies = zip(*(_unlisted(b) for b in table.column("words").to_pylist()))
+    ends = np.cumsum(np.concatenate(sizes))
+    words = words_at(np.concatenate(bodies), ends - np.concatenate(sizes), ends)
+    at, codes = distinct(words)
+    counts, ids, surfaces = _pieces(model)([words.word(i) for i in at.tolist()])
+    ends, answers = np.cumsum(counts), []
+    for own in np.split(codes, np.cumsum([len(s) for s in sizes])[:-1]):
+        odd = [surfaces[k] for k in own.tolist()]
+        answers.append((squeeze(counts[own].astype(np.uint32)), squeeze(joined(ids, ends[own] - counts[own], ends[own])), _listed(np.fromiter(map(len, odd), np.int64, len(odd)), b"".join(odd))))
     columns = [pa.array(c, pa.binary()) for c in zip(*answers)]
     return pa.table([table.column("part"), table.column("block"), *columns], ["part", "block", "counts", "ids", "surfaces"])
 
 
-def _joined(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[tuple[pa.RecordBatch, Words, Texts, list[list[int]], list[bytes], list[int]]]:
-    """Chunks with the ids and surfaces that the table has for the words of
-    their block, and the word at each position."""
+def _answered(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Blocks with what the table has for their distinct words: numbers of ids,
+    the ids, sizes of surfaces, the surfaces."""
     for block in _blocks(batches, bits):
-        ids, surfaces = [], []
-        for row in rows_of(table, block.number, ["part", "counts", "ids", "surfaces"]).sort_by("part").to_pylist() if block.words else ():
-            ends = np.cumsum(stretch(row["counts"], np.uint32)).tolist()
-            flat = stretch(row["ids"], np.uint32).tolist()
-            ids += [flat[a:b] for a, b in zip([0, *ends], ends)]
-            surfaces += _unlisted(row["surfaces"])
-        if len(ids) != len(block.words):
+        rows = rows_of(table, block.number, ["part", "counts", "ids", "surfaces"]).sort_by("part").to_pylist() if len(block.at) else []
+        counts = np.concatenate([np.zeros(0, np.int64), *(stretch(r["counts"], np.uint32).astype(np.int64) for r in rows)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(stretch(r["ids"], np.uint32) for r in rows)])
+        odd = [_unlisted(r["surfaces"]) for r in rows]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(s for s, _ in odd)])
+        if not len(counts) == len(sizes) == len(block.at):
             raise RuntimeError("the texts came in another order than before; write them to a table first")
-        for (batch, words, marked), places in zip(block.rows, block.places):
-            yield batch, words, marked, ids, surfaces, places
+        yield block, counts, ids, sizes, b"".join(s.tobytes() for _, s in odd)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch, words, marked, own, surfaces, places in _joined(batches, table, bits):
-        if own is not last:
-            last = own
-            printed = [b"".join([b",%d" % i for i in x]) for x in own]
-            counts, odd = np.array([len(x) for x in own], np.int64), np.array([s != b"" for s in surfaces], bool)
-        at = np.array(places, np.int64)
-        whole, oddly = (np.concatenate([[0], np.cumsum(x[at])]) if len(at) else np.zeros(1, np.int64) for x in (counts, odd))
-        first, numbers, ids, decoded = words.first.tolist(), [], [], []
+    for block, counts, own, sizes, surfaces in _answered(batches, table, bits):
+        digits = [b",%d" % i for i in range(int(own.max()) + 1 if len(own) else 0)]
+        flat = b"".join(map(digits.__getitem__, own.tolist()))
+        width = np.concatenate([[0], np.cumsum(np.fromiter(map(len, digits), np.int64, len(digits))[own])])
+        ends = width[np.cumsum(counts)].tolist()
+        printed = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        surface_ends, words, data = np.cumsum(sizes), block.words, block.marked.data
+        whole, oddly = (np.concatenate([[0], np.cumsum(x[block.places])]) for x in (counts, sizes > 0))
+        first, offsets, ids, decoded = words.first.tolist(), block.marked.offsets.tolist(), [], []
         for i, (a, b) in enumerate(zip(first, first[1:])):
-            numbers.append(int(whole[b] - whole[a]))
-            ids.append(hashlib.sha256(b"".join(map(printed.__getitem__, places[a:b]))[1:]).hexdigest())
-            text = marked.bytes(i)
+            places = block.places[a:b].tolist()
+            ids.append(hashlib.sha256(memoryview(b"".join(map(printed.__getitem__, places)))[1:]).hexdigest())
+            text = data[offsets[i] + 1 : max(offsets[i] + 1, offsets[i + 1])]
             if oddly[b] > oddly[a]:
-                text = b"".join(surfaces[c] or words.word(k) for k, c in zip(range(a, b), places[a:b]))
-            decoded.append(hashlib.sha256(text[1:]).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(numbers, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                text = b"".join(surfaces[surface_ends[c] - sizes[c] : surface_ends[c]] or words.word(k) for k, c in zip(range(a, b), places))[1:]
+            decoded.append(hashlib.sha256(text).hexdigest())
+        numbers = np.diff(whole[words.first])
+        yield pa.RecordBatch.from_arrays([block.doc_id.cast(pa.int64()), pa.array(numbers, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _ids(batches: Iterator[pa.RecordBatch], table: str, bits: int) -> Iterator[pa.RecordBatch]:
-    for batch, words, _, own, _, places in _joined(batches, table, bits):
-        first = words.first.tolist()
-        ids = [[t for c in places[a:b] for t in own[c]] for a, b in zip(first, first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    for block, counts, own, _, _ in _answered(batches, table, bits):
+        ends = np.cumsum(counts)
+        ids = joined(own, (ends - counts)[block.places], ends[block.places])
+        whole = np.concatenate([[0], np.cumsum(counts[block.places])])[block.words.first]
+        lists = pa.ListArray.from_arrays(pa.array(whole, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([block.doc_id.cast(pa.int64()), lists], ["doc_id", "ids"])
 
 
 def _by_table(df: DataFrame, model: str, key: str, text: str, join: Callable, schema: str) -> DataFrame:

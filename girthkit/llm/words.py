@@ -135,6 +135,29 @@ class Words:
         return self.texts.data[self.start[i] : self.end[i]].tobytes()
 
 
+def words_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Words:
+    """The words data[start:end], raw and of no text."""
+    out = object.__new__(Words)
+    out.texts = object.__new__(Texts)
+    out.texts.data, out.texts.offsets = data, np.zeros(1, np.int64)
+    out.start, out.end, out.first = start, end, np.zeros(1, np.int64)
+    out.hash = hashes(data, start, end)
+    return out
+
+
+def joined(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """values[start:end] of all pairs, one after the other."""
+    size = end - start
+    at = np.repeat(start - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def fronts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of data[start:end], as integers in their order."""
+    return _block(_eights(data), start, end - start, 0).byteswap()
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each pair: a chain of finalisers
     over eight bytes at a time, for words beyond SHORT bytes a BLAKE2."""

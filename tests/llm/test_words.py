@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from girthkit.llm import jaccard, katz, packing, pieces
@@ -96,3 +97,34 @@ def test_jaccard(twins):
     docs, _ = twins
     got = {r.doc_id: r.component_id for r in jaccard.links(docs).collect()}
     assert got == {k: k for k in range(1, 7)}
+
+
+def test_pieces_by_block(monkeypatch):
+    """Blocks ask and are answered without an object a word; words that share
+    a hash are told apart; all is as the library has it."""
+    import pyspark
+    import sentencepiece
+
+    model = vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["one two  three one", None, "", " ", "▁ a▁b ⁇ ﬁ é́ 😀", "two " * 50, "x" * 200, "one\ttwo\nthree two"]
+    rows = [pa.record_batch([pa.array(range(a, a + 4)), pa.array(texts[a : a + 4], pa.string())], ["doc_id", "text"]) for a in (0, 4)]
+    monkeypatch.setattr(pyspark, "TaskContext", type("T", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    monkeypatch.setattr(pieces, "BLOCK", 0)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr("girthkit.llm.words.hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
+        with monkeypatch.context() as m:
+            if not collide:
+                m.setattr(Words, "word", lambda *_: pytest.fail("an object a word"))
+            asked = pa.Table.from_batches(pieces._ask(iter(rows), 2))
+        parts = sorted(set(asked.column("part").to_pylist()))
+        assert len(set(asked.column("block").to_pylist())) == 2 and (len(parts) > 1) != collide
+        answers = pa.concat_tables(pieces._segment(asked.filter(pa.compute.equal(asked.column("part"), p)), model) for p in parts)
+        monkeypatch.setattr(pieces, "rows_of", lambda table, block, columns: table.filter(pa.compute.equal(table.column("block"), block)).select(columns))
+        got = [r for b in pieces._digests(iter(rows), answers, 2) for r in b.to_pylist()]
+        ids = [r["ids"] for b in pieces._ids(iter(rows), answers, 2) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in got] == list(range(8)) and ids == [library.encode(t or "") for t in texts]
+        for r, own in zip(got, ids):
+            assert r["n_tokens"] == len(own) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(library.decode(own).encode()).hexdigest()
