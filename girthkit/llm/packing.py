@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,13 @@ Plan = list[tuple[int, tuple[int, ...]]]
 
 class WordIds:
     """Ids of words, each as 32-bit little-endian bytes. Words between white
-    space can be encoded alone: the tokenizer cuts at white space."""
+    space can be encoded alone, or many as one text: the tokenizer cuts at
+    white space. Words of letters give one token each that ends a word, which
+    tells where their ids end. Between others stands SEPARATOR, a word of one
+    id that words without it do not give. Where the number of ends is another,
+    words are encoded alone."""
+
+    SEPARATOR, END = b"\x01", "</w>"
 
     def __init__(self, path: str):
         import os
@@ -51,14 +58,40 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        known = self.tokenizer.get_vocab()
+        self.last, self.separator = np.zeros((2, max(known.values()) + 1), bool)
+        ends = {token: i for token, i in known.items() if token.endswith(self.END)}
+        if sum(len(token) == 1 + len(self.END) for token in ends) >= 256:  # any byte can end a word
+            self.last[list(ends.values())] = True
+        self.separator[self.encode([self.SEPARATOR])[0]] = True
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in made]
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(words), 4096):  # the library's results are large
-            part = self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)
-            out += [np.array(x.ids, "<u4").tobytes() for x in part]
+            out += self.some(words[a : a + 4096])
         return out
 
+    def some(self, words: list[bytes]) -> list[bytes]:
+        letters = [w.decode().isalpha() for w in words]
+        simple = iter(self.parts([*compress(words, letters)], b" ", self.last))
+        other = iter(self.parts([w for w, x in zip(words, letters) if not x], b" %b " % self.SEPARATOR, self.separator))
+        return [next(simple if x else other) for x in letters]
+
+    def parts(self, words: list[bytes], between: bytes, ends: np.ndarray) -> list[bytes]:
+        if not words:
+            return []
+        mark = ends is self.separator
+        (ids,) = self.encode([between.join([*words, b""] if mark else words)])
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids):
+            return [x.tobytes() for x in self.encode(words)]
+        flat, stops = ids.tobytes(), (4 * at).tolist()
+        return [flat[a : b - 4 * mark] for a, b in zip([0, *stops], stops)]
+
 
 @lru_cache(1)
 def _cache(path: str) -> Cache:

@@ -157,7 +157,7 @@ def _segment(table: pa.Table, model: str) -> pa.Table:
     ends = np.cumsum(np.concatenate(sizes))
     words = words_at(np.concatenate(bodies), ends - np.concatenate(sizes), ends)
     at, codes = distinct(words)
-    counts, ids, surfaces = _pieces(model)([words.word(i) for i in at.tolist()])
+    counts, ids, surfaces = _pieces(model)(words.listed(at))
     ends, answers = np.cumsum(counts), []
     for own in np.split(codes, np.cumsum([len(s) for s in sizes])[:-1]):
         odd = [surfaces[k] for k in own.tolist()]

@@ -134,6 +134,12 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.texts.data[self.start[i] : self.end[i]].tobytes()
 
+    def listed(self, at: np.ndarray) -> list[bytes]:
+        """The words at these places."""
+        start, end = self.start[at], self.end[at]
+        body, ends = joined(self.texts.data, start, end).tobytes(), np.cumsum(end - start).tolist()
+        return [body[a:b] for a, b in zip([0, *ends], ends)]
+
 
 def words_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Words:
     """The words data[start:end], raw and of no text."""
@@ -250,7 +256,7 @@ class Cache:
             values[known] = self.values[place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = [words.word(i) for i in at[new].tolist()]
+            raw = words.listed(at[new])
             made = self.encode(raw)
             values[new] = np.fromiter(made, object, len(made))
             # a hash is held once: what collides with a held word stays out
